@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, url_filter
+from . import language_id, near_dedup, quality_rules, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_url_filter": url_filter.op6,
+        "op7_near_dedup": near_dedup.op7,
+        "op8_language_id": language_id.op8,
         "op9_quality_rules": quality_rules.op9,
     }
 
