@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, quality_rules, url_filter
+from . import codec, language_id, near_dedup, packing, quality_rules, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_packing": packing.op3,
         "op6_url_filter": url_filter.op6,
         "op7_near_dedup": near_dedup.op7,
         "op8_language_id": language_id.op8,
         "op9_quality_rules": quality_rules.op9,
+        "op10_bpe_codec": codec.op10,
     }
 
 
