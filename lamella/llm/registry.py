@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, language_id, near_dedup, packing, quality_rules, url_filter
+from . import codec, embedding_dedup, language_id, near_dedup, packing, quality_rules, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": packing.op3,
+        "op4_embedding_dedup": embedding_dedup.op4,
         "op6_url_filter": url_filter.op6,
         "op7_near_dedup": near_dedup.op7,
         "op8_language_id": language_id.op8,
