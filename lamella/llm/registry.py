@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, embedding_dedup, language_id, near_dedup, packing, pii, quality_rules, url_filter
+from . import codec, embedding_dedup, language_id, near_dedup, packing, pii, quality_rules, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": pii.op1,
+        "op2_secret_scan": secret_scan.op2,
         "op3_packing": packing.op3,
         "op4_embedding_dedup": embedding_dedup.op4,
         "op6_url_filter": url_filter.op6,
