@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, embedding_dedup, language_id, near_dedup, packing, pii, quality_rules, secret_scan, url_filter
+from . import codec, embedding_dedup, language_id, near_dedup, packing, pii, quality_rules, secret_scan, sharding, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secret_scan.op2,
         "op3_packing": packing.op3,
         "op4_embedding_dedup": embedding_dedup.op4,
+        "op5_sharding": sharding.op5,
         "op6_url_filter": url_filter.op6,
         "op7_near_dedup": near_dedup.op7,
         "op8_language_id": language_id.op8,
