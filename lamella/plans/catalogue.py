@@ -1,11 +1,423 @@
-"""The named queries over the star-schema tables, each with the SQL that must give the same rows."""
+"""The named queries over the star-schema tables, each with the SQL that must give the same rows.
+
+``P`` is the page size: small, so that a small table has several pages.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec
+from ..operators import bloom, encoding, pages
+from ..operators.table import Table, equi_filter, equi_page_counts, formatted, lookup, lookup_batches, page_counts, scan
+from ..sources.text import field, window
+
+P = 1024
+#: Requests for look-ups: unsorted, with repeats, changing pages, with first and last rows of pages and one that is none.
+WANTED = [15, 100, 15, 1023, 1024, 2047, 3, 900, 901, 1400, 5, 10_000_000]
+BLOOM = bloom.optimal(1_000, 0.01, portable=True)
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def orders(spark: SparkSession, sf_dir: str) -> Table:
+    return Table(_read(spark, sf_dir, "orders"), "o_orderkey", P)
+
+
+def events(spark: SparkSession, sf_dir: str) -> Table:
+    return Table(_read(spark, sf_dir, "events"), "event_id", P)
+
+
+def customers(spark: SparkSession, sf_dir: str) -> Table:
+    return Table(_read(spark, sf_dir, "customer"), "c_custkey", 256)
+
+
+# Scans and projections
+
+
+@query("SELECT l_returnflag, l_linestatus FROM lineitem")
+def scan_projection(spark, sf_dir):
+    return scan(Table(_read(spark, sf_dir, "lineitem"), "l_orderkey"), ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS c0, o_orderstatus AS c1, o_orderpriority AS c2, CAST(o_custkey AS VARCHAR) AS c3 FROM orders")
+def scan_all_strings(spark, sf_dir):
+    return orders(spark, sf_dir).df.select(*(F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(["o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey"])))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, o_orderpriority AS o_orderpriority_1 FROM orders")
+def scan_reorder_dup(spark, sf_dir):
+    return scan(orders(spark, sf_dir), ["o_orderpriority", "o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT count(*) AS n FROM orders")
+def scan_count_only(spark, sf_dir):
+    return scan(orders(spark, sf_dir), [])
+
+
+@query(f"SELECT o_orderkey // {P} AS page, count(*) AS n FROM orders GROUP BY 1")
+def scan_page_counts(spark, sf_dir):
+    return page_counts(orders(spark, sf_dir))
+
+
+# Equality filters
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'")
+def filter_eq_low_card(spark, sf_dir):
+    return equi_filter(orders(spark, sf_dir), "o_orderpriority", "1-URGENT", ["o_orderkey", "o_orderpriority"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_name = 'Customer#000000042'")
+def filter_eq_high_card(spark, sf_dir):
+    return equi_filter(customers(spark, sf_dir), "c_name", "Customer#000000042", ["c_custkey", "c_name"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = '9-NONE'")
+def filter_eq_absent(spark, sf_dir):
+    return equi_filter(orders(spark, sf_dir), "o_orderpriority", "9-NONE", ["o_orderkey"])
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderpriority = ''")
+def filter_eq_empty(spark, sf_dir):
+    return equi_filter(orders(spark, sf_dir), "o_orderpriority", "", ["o_orderkey"])
+
+
+@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_returnflag = 'R'")
+def filter_project_other(spark, sf_dir):
+    return equi_filter(Table(_read(spark, sf_dir, "lineitem"), "l_orderkey"), "l_returnflag", "R", ["l_orderkey", "l_quantity"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE CAST(o_custkey AS VARCHAR) = '77'")
+def filter_eq_as_text(spark, sf_dir):
+    return equi_filter(orders(spark, sf_dir), "o_custkey", "77", ["o_orderkey", "o_custkey"])
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT'")
+def filter_count_only(spark, sf_dir):
+    return equi_filter(orders(spark, sf_dir), "o_orderpriority", "1-URGENT", [])
+
+
+@query(f"SELECT event_id // {P} AS page, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM events GROUP BY 1")
+def filter_page_counts(spark, sf_dir):
+    return equi_page_counts(events(spark, sf_dir), "event_type", "purchase")
+
+
+# Look-ups by row number
+
+_VALUES = ", ".join(f"({k}, {r})" for k, r in enumerate(WANTED))
+
+
+@query(f"SELECT CAST(q.req_pos AS BIGINT) AS req_pos, o_orderstatus, o_orderpriority FROM (VALUES {_VALUES}) q(req_pos, rid) JOIN orders ON o_orderkey = q.rid")
+def lookup_rows(spark, sf_dir):
+    return lookup(orders(spark, sf_dir), WANTED, ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT CAST(event_id AS BIGINT) AS req_pos, o_orderkey, o_orderpriority FROM events JOIN orders ON o_orderkey = user_id")
+def lookup_by_table(spark, sf_dir):
+    asked = _read(spark, sf_dir, "events").select(F.col("event_id").alias("req_pos"), F.col("user_id").alias("rid"))
+    table = orders(spark, sf_dir)
+    return lookup(Table(table.df.withColumn("rid", F.col("o_orderkey")), "rid", P), asked, ["o_orderkey", "o_orderpriority"])
+
+
+@query("SELECT CAST(q.req_pos AS BIGINT) AS req_pos, event_type FROM (VALUES (0, 7), (1, 7), (2, 7)) q(req_pos, rid) JOIN events ON event_id = q.rid")
+def lookup_duplicates(spark, sf_dir):
+    return lookup(events(spark, sf_dir), [7, 7, 7], ["event_type"])
+
+
+@query(f"""WITH q AS (SELECT req_pos, rid // {P} AS page FROM (VALUES {_VALUES}) q(req_pos, rid)),
+m AS (SELECT *, CASE WHEN lag(page) OVER (ORDER BY req_pos) = page THEN 0 ELSE 1 END AS new FROM q),
+r AS (SELECT *, sum(new) OVER (ORDER BY req_pos) - 1 AS batch FROM m)
+SELECT CAST(batch AS BIGINT) AS batch, CAST(page AS BIGINT) AS page, count(*) AS n FROM r GROUP BY 1, 2""")
+def lookup_batch_runs(spark, sf_dir):
+    return lookup_batches(spark, WANTED, P)
+
+
+@query(f"SELECT event_id, event_id // {P} AS page, event_id % {P} AS slot FROM events")
+def rowid_page_slot(spark, sf_dir):
+    table = events(spark, sf_dir)
+    return table.df.select("event_id", table.page().alias("page"), table.slot().alias("slot"))
+
+
+# Row windows and fields of text
+
+
+@query("SELECT o_orderkey - 10 AS o_orderkey, o_orderpriority FROM orders WHERE o_orderkey >= 10 AND o_orderkey < 30")
+def offset_limit(spark, sf_dir):
+    return window(_read(spark, sf_dir, "orders"), 10, 20, "o_orderkey").select("o_orderkey", "o_orderpriority")
+
+
+_LINE = "concat_ws(',', CAST(o_orderkey AS VARCHAR), o_orderstatus, '', o_orderpriority)"
+
+
+@query(f"SELECT o_orderkey AS rid, split_part({_LINE}, ',', 4) AS c0, split_part({_LINE}, ',', 1) AS c1, split_part({_LINE}, ',', 3) AS c2, split_part({_LINE}, ',', 9) AS c3 FROM orders")
+def split_fields(spark, sf_dir):
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.lit(""), "o_orderpriority")
+    return _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), *(field(line, c).alias(f"c{k}") for k, c in enumerate((3, 0, 2, 8))))
+
+
+@query("SELECT count(DISTINCT event_id // 1024) AS pages FROM events")
+def page_count(spark, sf_dir):
+    table = events(spark, sf_dir)
+    return page_counts(table).agg(F.count("*").alias("pages"))
+
+
+# Page statistics and encoding decisions
+
+
+@query(f"SELECT page, string_agg(v, ',' ORDER BY v) AS vals FROM (SELECT DISTINCT event_id // {P} AS page, event_type AS v FROM events) GROUP BY 1")
+def page_distinct_sorted(spark, sf_dir):
+    return pages.sorted_values(events(spark, sf_dir), "event_type").select("page", F.concat_ws(",", "values").alias("vals"))
+
+
+@query(f"SELECT o_orderkey // {P} AS page, min(CAST(o_custkey AS VARCHAR)) AS min_v, max(CAST(o_custkey AS VARCHAR)) AS max_v FROM orders GROUP BY 1")
+def page_minmax(spark, sf_dir):
+    return pages.stats(orders(spark, sf_dir), "o_custkey").select("page", "min_v", "max_v")
+
+
+@query(f"SELECT o_orderkey // {P} AS page, count(*) AS n_rows, count(DISTINCT o_custkey) AS n_distinct, count(DISTINCT o_custkey) * 1.0 / count(*) > 0.8 AS is_plain FROM orders GROUP BY 1")
+def page_encoding_plain(spark, sf_dir):
+    return pages.stats(orders(spark, sf_dir), "o_custkey").select("page", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_distinct"), "is_plain")
+
+
+@query(f"SELECT o_orderkey // {P} AS page, CAST(CASE WHEN count(DISTINCT o_custkey) < 256 THEN 1 WHEN count(DISTINCT o_custkey) < 65536 THEN 2 ELSE 4 END AS INTEGER) AS width FROM orders GROUP BY 1")
+def code_width(spark, sf_dir):
+    return pages.stats(orders(spark, sf_dir), "o_custkey").select("page", "width")
+
+
+_FIRST = f"SELECT CAST(o_custkey AS VARCHAR) AS v, min(o_orderkey // {P}) AS first_page FROM orders GROUP BY 1"
+
+
+@query(_FIRST)
+def page_new_values(spark, sf_dir):
+    return pages.first_pages(orders(spark, sf_dir), "o_custkey")
+
+
+_DISTINCT = f"SELECT o_orderkey // {P} AS page, count(DISTINCT o_custkey) AS n_distinct FROM orders GROUP BY 1"
+
+
+@query(f"""WITH f AS ({_FIRST}), d AS ({_DISTINCT}), n AS (SELECT first_page, count(*) AS k FROM f GROUP BY 1)
+SELECT page, n_distinct, coalesce(k, 0) AS n_new, coalesce(k, 0) * 1.0 / n_distinct > 0.99 AS mostly_new FROM d LEFT JOIN n ON page = first_page""")
+def page_new_ratio(spark, sf_dir):
+    return pages.new_values(orders(spark, sf_dir), "o_custkey").select("page", "n_distinct", "n_new", (F.col("new_ratio") > pages.NEW_RATIO).alias("mostly_new"))
+
+
+@query(f"""WITH f AS ({_FIRST}), n AS (SELECT first_page, min(v) AS lo, max(v) AS hi FROM f GROUP BY 1)
+SELECT DISTINCT o_orderkey // {P} AS page, coalesce(lo, ' ') AS min_new, coalesce(hi, ' ') AS max_new FROM orders LEFT JOIN n ON o_orderkey // {P} = first_page""")
+def segment_minmax(spark, sf_dir):
+    return pages.new_values(orders(spark, sf_dir), "o_custkey").select("page", "min_new", "max_new")
+
+
+@query(f"""WITH d AS (SELECT DISTINCT event_id // {P} AS page, event_type AS v FROM events),
+l AS (SELECT page, v FROM d JOIN (SELECT page + 1 AS again, v AS w FROM d) e ON page = again AND v = w)
+SELECT d.page, count(l.v) * 1.0 / count(*) > 0.2 AS shares FROM d LEFT JOIN l ON d.page = l.page AND d.v = l.v GROUP BY 1""")
+def page_overlap(spark, sf_dir):
+    return pages.shared_ratio(events(spark, sf_dir), "event_type").select("page", (F.col("ratio") > 0.2).alias("shares"))
+
+
+@query(f"SELECT page, v, dense_rank() OVER (PARTITION BY page ORDER BY v) - 1 AS code FROM (SELECT DISTINCT event_id // {P} AS page, event_type AS v FROM events)")
+def dict_codes_local(spark, sf_dir):
+    return pages.local_codes(events(spark, sf_dir), "event_type")
+
+
+@query(f"SELECT v, first_page, row_number() OVER (ORDER BY first_page, v) - 1 AS code FROM ({_FIRST})")
+def dict_codes_diff(spark, sf_dir):
+    return pages.growing_codes(orders(spark, sf_dir), "o_custkey")
+
+
+@query(f"""WITH n AS (SELECT first_page, count(*) AS k FROM ({_FIRST}) GROUP BY 1), p AS (SELECT DISTINCT o_orderkey // {P} AS page FROM orders)
+SELECT page, coalesce(k, 0) AS len, CAST(sum(coalesce(k, 0)) OVER (ORDER BY page) - coalesce(k, 0) AS BIGINT) AS base FROM p LEFT JOIN n ON page = first_page""")
+def dict_chain(spark, sf_dir):
+    return pages.chain(orders(spark, sf_dir), "o_custkey")
+
+
+@query(f"SELECT o_orderkey // {P} AS page FROM orders GROUP BY 1 HAVING min(lpad(CAST(o_orderkey AS VARCHAR), 8, '0')) <= '00001500' AND max(lpad(CAST(o_orderkey AS VARCHAR), 8, '0')) >= '00001500'")
+def zone_prune_pages(spark, sf_dir):
+    table = orders(spark, sf_dir)
+    keyed = Table(table.df.withColumn("k", F.lpad(F.col("o_orderkey").cast("string"), 8, "0")), table.rid, P)
+    return pages.zone_pruned(keyed, "k", "00001500")
+
+
+@query(f"""SELECT page, CAST(sum(b) + any_value(CASE WHEN k < 128 THEN 1 WHEN k < 16384 THEN 2 ELSE 3 END) AS BIGINT) AS bytes FROM (
+SELECT page, strlen(v) + CASE WHEN strlen(v) < 128 THEN 1 WHEN strlen(v) < 16384 THEN 2 ELSE 3 END AS b, count(*) OVER (PARTITION BY page) AS k
+FROM (SELECT DISTINCT event_id // {P} AS page, props AS v FROM events)) GROUP BY 1""")
+def dict_serialized_bytes(spark, sf_dir):
+    return pages.sorted_values(events(spark, sf_dir), "props").select("page", codec.list_bytes(F.col("values")).cast("long").alias("bytes"))
+
+
+@query("SELECT 'orders' AS t, o_orderkey AS rid, o_orderpriority AS v FROM orders UNION ALL SELECT 'custkey', o_orderkey, CAST(o_custkey AS VARCHAR) FROM orders")
+def encode_roundtrip(spark, sf_dir):
+    coded = encoding.encode(orders(spark, sf_dir), ["o_orderpriority", "o_custkey"])
+    name = F.when(F.col("column") == "o_custkey", "custkey").otherwise("orders")
+    return encoding.decode(coded, P).select(name.alias("t"), "rid", "v")
+
+
+@query("SELECT o_orderkey AS rid FROM orders WHERE o_orderpriority = '1-URGENT'")
+def filter_on_codes(spark, sf_dir):
+    return encoding.filter_codes(encoding.encode(orders(spark, sf_dir), ["o_orderpriority"]), "o_orderpriority", "1-URGENT", P)
+
+
+@query("SELECT o_orderkey AS rid FROM orders WHERE CAST(o_custkey AS VARCHAR) = '77'")
+def filter_on_codes_mixed(spark, sf_dir):
+    return encoding.filter_codes(encoding.encode(orders(spark, sf_dir), ["o_custkey"]), "o_custkey", "77", P)
+
+
+@query()
+def encoded_pages(spark, sf_dir):
+    """The page encodings of some columns; tests compare them with a model of a sequential writer."""
+    rows = encoding.encode(orders(spark, sf_dir), ["o_orderpriority", "o_custkey", "o_totalprice"])
+    return rows.select("column", "page", "encoding", "n", "epoch", "base", "width", F.size("segment").alias("added"))
+
+
+@query()
+def encoded_chain(spark, sf_dir):
+    return encoding.chain(encoding.encode(orders(spark, sf_dir), ["o_custkey"]))
+
+
+# Bloom filters
+
+
+@query("""WITH k AS (SELECT unnest(range(1, 1000)) AS k), m AS (SELECT k, -k * 10000 / ln(1 - pow(0.001, 1.0 / k)) AS m FROM k)
+SELECT CAST(arg_min(k, m) AS INTEGER) AS hashes, CAST(ceil(floor(min(m)) / 8) * 8 AS BIGINT) AS bits FROM m""")
+def bloom_params(spark, sf_dir):
+    p = bloom.optimal(10_000, 0.001)
+    return spark.createDataFrame([(p.hashes, p.bits)], "hashes int, bits long")
+
+
+def _bits(where: str) -> str:
+    """SQL: the set bits of the customers' names, or some of them."""
+    return f"SELECT DISTINCT CAST(('0x' || substr(md5(k || ':{BLOOM.seed}:' || c_name), 1, 8)) AS BIGINT) % {BLOOM.bits} AS bit FROM customer, (SELECT unnest(range({BLOOM.hashes})) AS k) WHERE {where}"
+
+
+def _names(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    return _read(spark, sf_dir, "customer").where(where).select("c_name")
+
+
+def _filter(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    return bloom.build(_names(spark, sf_dir, where), "c_name", BLOOM)
+
+
+_A, _B = "c_custkey < 100", "c_custkey >= 50 AND c_custkey < 150"
+
+
+@query(_bits("true"))
+def bloom_bits_md5(spark, sf_dir):
+    return bloom.set_bits(_filter(spark, sf_dir, "true"))
+
+
+@query(f"SELECT bit FROM ({_bits(_A)}) UNION SELECT bit FROM ({_bits(_B)})")
+def bloom_union(spark, sf_dir):
+    return bloom.set_bits(bloom.union(_filter(spark, sf_dir, _A), _filter(spark, sf_dir, _B), BLOOM, BLOOM))
+
+
+@query(f"SELECT bit FROM ({_bits(_A)}) INTERSECT SELECT bit FROM ({_bits(_B)})")
+def bloom_intersect(spark, sf_dir):
+    return bloom.set_bits(bloom.intersection(_filter(spark, sf_dir, _A), _filter(spark, sf_dir, _B), BLOOM, BLOOM))
+
+
+@query(f"SELECT bit FROM (SELECT * FROM ({_bits(_A)}) UNION ALL SELECT * FROM ({_bits(_B)})) GROUP BY 1 HAVING count(*) = 1")
+def bloom_xor(spark, sf_dir):
+    return bloom.set_bits(bloom.difference(_filter(spark, sf_dir, _A), _filter(spark, sf_dir, _B), BLOOM, BLOOM))
+
+
+_FOLDED = int(BLOOM.bits * 0.95) // 8 * 8
+
+
+@query(f"SELECT DISTINCT bit % {_FOLDED} AS bit FROM ({_bits(_A)})")
+def bloom_fold(spark, sf_dir):
+    return bloom.set_bits(bloom.fold(_filter(spark, sf_dir, _A), BLOOM, 5)[0])
+
+
+@query("SELECT count(DISTINCT c_name) AS members, count(DISTINCT c_name) AS found FROM customer")
+def bloom_no_false_negatives(spark, sf_dir):
+    names = _names(spark, sf_dir, "true")
+    p = bloom.optimal(1_000, 0.01)
+    each = bloom.contains(names, "c_name", bloom.build(names, "c_name", p), p)
+    return each.agg(F.count("*").alias("members"), F.count_if("found").alias("found"))
+
+
+@query(f"""WITH b AS ({_bits(_A)}), p AS (SELECT c_name, count(DISTINCT k) AS n, count(DISTINCT CASE WHEN bit IS NOT NULL THEN k END) AS hit FROM
+(SELECT c_name, k, CAST(('0x' || substr(md5(k || ':{BLOOM.seed}:' || c_name), 1, 8)) AS BIGINT) % {BLOOM.bits} AS want FROM customer, (SELECT unnest(range({BLOOM.hashes})) AS k)) LEFT JOIN b ON bit = want GROUP BY 1)
+SELECT c_name AS value, n = hit AS found FROM p""")
+def bloom_contains(spark, sf_dir):
+    return bloom.contains(_names(spark, sf_dir, "true"), "c_name", _filter(spark, sf_dir, _A), BLOOM)
+
+
+@query("SELECT true AS all_found, false AS none_found, CAST(NULL AS VARCHAR) AS first_missing, min(c_name) AS first_found FROM customer WHERE c_custkey < 100")
+def bloom_contains_all(spark, sf_dir):
+    return bloom.contains_all(_names(spark, sf_dir, _A), "c_name", _filter(spark, sf_dir, _A), BLOOM)
+
+
+@query(f"SELECT count(*) AS bits_set, round(pow(count(*) / {BLOOM.bits}.0, {BLOOM.hashes}), 9) AS fpp FROM ({_bits('true')})")
+def bloom_fpp(spark, sf_dir):
+    return bloom.measured_fpp(_filter(spark, sf_dir, "true"), BLOOM).select(F.col("bits_set").cast("long").alias("bits_set"), F.round("fpp", 9).alias("fpp"))
+
+
+@query("SELECT upper(w) AS word, reverse(w) AS mirrored, w || reverse(w) AS doubled FROM (SELECT DISTINCT event_type AS w FROM events)")
+def word_variants(spark, sf_dir):
+    words = _read(spark, sf_dir, "events").select(F.col("event_type").alias("w")).distinct()
+    return words.select(F.upper("w").alias("word"), F.reverse("w").alias("mirrored"), F.concat("w", F.reverse("w")).alias("doubled"))
+
+
+# Expressions of the serialized forms
+
+
+@query("SELECT n, CAST(CASE WHEN n >= 0 THEN 2 * n ELSE -2 * n - 1 END AS BIGINT) AS u, n AS back FROM (SELECT o_orderkey - 700 AS n FROM orders)")
+def zigzag(spark, sf_dir):
+    n = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") - 700).alias("n")).withColumn("u", codec.zigzag(F.col("n")))
+    return n.select("n", F.col("u").cast("long").alias("u"), codec.unzigzag(F.col("u")).alias("back"))
+
+
+@query("SELECT n, CAST(CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 ELSE 4 END AS INTEGER) AS bytes FROM (SELECT o_orderkey * 7 AS n FROM orders)")
+def varint_bytes(spark, sf_dir):
+    n = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 7).alias("n"))
+    return n.select("n", codec.varint_length(F.col("n")).alias("bytes"))
+
+
+@query("SELECT o_orderkey // 8 AS g, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 << CAST(o_orderkey % 8 AS INTEGER) ELSE 0 END) AS BIGINT) AS packed FROM orders GROUP BY 1")
+def bit_pack(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 8").alias("g")).agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") == "F").alias("b")))).alias("r"))
+    return rows.select("g", codec.pack_bits(F.col("r.b"))[0].cast("long").alias("packed"))
+
 
-def queries():
-    return {}
+@query()
+def nested_roundtrip(spark, sf_dir):
+    """Nested values of every container kind, written to and read from JSON."""
+    shape = "struct<num:bigint,vec:array<double>,str:string,opt:string,pairs:map<string,bigint>,grid:array<array<bigint>>>"
+    row = F.struct(
+        F.col("o_orderkey").alias("num"), F.array("o_totalprice", -F.col("o_totalprice")).alias("vec"), F.col("o_orderpriority").alias("str"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("opt"), F.create_map("o_orderstatus", "o_custkey").alias("pairs"), F.array(F.array("o_custkey"), F.array(F.lit(0).cast("long"))).alias("grid"),
+    )
+    return _read(spark, sf_dir, "orders").select(row.alias("row")).select(F.from_json(F.to_json("row"), shape).alias("row"), (F.from_json(F.to_json("row"), shape).cast("string") == F.col("row").cast("string")).alias("same"))
 
 
-def oracle_sql():
-    return {}
+@query("SELECT concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority) AS line FROM orders")
+def format_rows(spark, sf_dir):
+    return formatted(scan(orders(spark, sf_dir), ["o_orderkey", "o_orderstatus", "o_orderpriority"]))
