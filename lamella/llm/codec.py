@@ -1,10 +1,13 @@
 """BPE encoding over a table of distinct words, and decoding through an id-to-piece table.
 
 Encoding goes in four steps. (1) Documents are gathered, where they are read, into chunks of about ``CHUNK_CHARS``
-characters; a chunk holds its distinct words once and its documents as positions into them. Chunks are stored. (2) The
-chunks' words meet by word, sorted, so that each distinct word is encoded exactly once, whichever chunks it is in. (3) The
-ids return to the chunks by position. (4) Each chunk joins them into its documents' ids. Text is moved as compressed
-positions only, and each shuffled row is a word that is distinct within its chunk.
+characters; a chunk holds its distinct words once, dealt into buckets by their hashes, and its documents as positions into
+them. (2) The chunks' words meet by bucket, where each distinct word is encoded exactly once, whichever chunks it is in.
+(3) The ids return to the chunks in the order in which the words left. (4) Each chunk joins them into its documents' ids
+by position. Whole texts are never moved, only compressed positions and words that are distinct within their chunk.
+
+Steps 1 and 4 read the documents once each and must see the same chunks, so a plan with a shuffle, whose rows may come in
+another order the second time, is stored first; a chunk that would still differ is missed by its id and raises an error.
 
 Decoding looks ids up in the vocabulary's table of pieces (bounded by the vocabulary and so sent to every task), joins the
 pieces' bytes and reads them as UTF-8, with the replacement character for what is none.
@@ -16,121 +19,147 @@ give a row; tables without rows give none; a null doc_id stays null; other colum
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common, tokens
 
-CHUNK_CHARS = 12_000_000
-#: Encoded words that are gathered before they are dealt out to their chunks.
-_FLUSH = 200_000
+CHUNK_CHARS = 16_000_000
 _TOKENS_AT_ONCE = 1_000_000
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+def _squeeze(x: np.ndarray) -> bytes:
+    """Compressed 32-bit integers, byte plane by byte plane."""
+    return zstandard.ZstdCompressor(level=3).compress(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).reshape(-1).view("<i4")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[str], np.ndarray, np.ndarray]]:
+    """(chunk id, doc_ids, distinct words, words of each document, their places among the distinct words)."""
     place: defaultdict[str, int] = defaultdict()
     place.default_factory = place.__len__
-    ids, parts, held = [], [], 0
+    ids, parts, held, n = [], [], 0, 0
+    partition = TaskContext.get().partitionId()
 
-    def row() -> pa.RecordBatch:
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    def closed():
+        sizes = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts))
         at = np.concatenate([*parts, np.zeros(0, dtype=np.int32)])
-        return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([list(place)], pa.list_(pa.string())), pa.array([_pack(sizes, at)], pa.binary())], ["doc_ids", "words", "places"])
+        seal = hashlib.blake2b(repr((partition, n, ids)).encode(), digest_size=8)
+        for part in (sizes, at):
+            seal.update(part.tobytes())
+        return int.from_bytes(seal.digest(), "little", signed=True), ids, list(place), sizes, at
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if ids and held + len(text or "") > CHUNK_CHARS:
-                yield row()
+                yield closed()
                 place.clear()
-                ids, parts, held = [], [], 0
+                ids, parts, held, n = [], [], 0, n + 1
             words = tokens.split(text) if text else []
             ids.append(doc_id)
             parts.append(np.fromiter(map(place.__getitem__, words), dtype=np.int32, count=len(words)))
             held += len(text or "")
     if ids:
-        yield row()
+        yield closed()
 
 
-def _encoded(path: str):
-    """From sorted (word, chunk, place) rows to (chunk, ids of its words), each word being encoded at its first row."""
+def _dealt(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' places, ordered by bucket and word, and where each bucket begins."""
+    bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), dtype=np.int64, count=len(words))
+    by_word = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
+    order = by_word[np.argsort(bucket[by_word], kind="stable")]
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _requests(buckets: int):
+    """(bucket, chunk, words): the distinct words of a chunk, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.load(path)
-        last, last_ids = None, b""
-        chunk, place, found, held = [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            c, p = np.concatenate(chunk), np.concatenate(place).astype(np.int32)
-            size = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
-            order = np.argsort(c, kind="stable")
-            heads = np.flatnonzero(np.concatenate(([True], c[order][1:] != c[order][:-1])))
-            out = []
-            for own in np.split(order, heads[1:]):
-                ids = np.frombuffer(b"".join([found[k] for k in own.tolist()]), dtype="<u4")
-                out.append(_pack(np.array([len(own)], dtype=np.int64), p[own], size[own], ids))
-            return pa.RecordBatch.from_arrays([pa.array(c[order][heads]), pa.array(out, pa.binary())], ["chunk", "ids"])
+        press = zstandard.ZstdCompressor(level=3)
+        for chunk, _, words, _, _ in _chunked(batches):
+            order, begin = _dealt(words, buckets)
+            full = np.flatnonzero(np.diff(begin))
+            # Words are joined by a zero byte; those that hold one are escaped, and so is the escape.
+            sent = [press.compress("\0".join([words[k].replace("\1", "\1\1").replace("\0", "\1\2") for k in order[begin[b] : begin[b + 1]].tolist()]).encode("utf-8", "surrogatepass")) for b in full.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.int64()), pa.array(sent, pa.binary())], ["bucket", "chunk", "words"])
 
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            new = [w for w, before in zip(words, [last, *words[:-1]], strict=True) if w != before]
-            coded = iter(tokens.encode_words(tokenizer, new))
-            for w in words:
-                if w != last:
-                    last, last_ids = w, next(coded)
-                found.append(last_ids)
-            chunk.append(batch.column(1).to_numpy())
-            place.append(batch.column(2).to_numpy())
-            held += len(words)
-            if held >= _FLUSH:
-                yield flush()
-                chunk, place, found, held = [], [], [], 0
-        if held:
-            yield flush()
+    return run
+
+
+def _placed(buckets: int):
+    """(chunk, doc_ids, and the chunk's document sizes, places, and order of words as sent)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, words, sizes, at in _chunked(batches):
+            order, _ = _dealt(words, buckets)
+            packed = [pa.array([_squeeze(x)], pa.binary()) for x in (sizes, at, order)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *packed], ["chunk", "doc_ids", "sizes", "places", "order"])
 
     return run
 
 
-def _joined(chunk: pa.Table, coded: pa.Table) -> pa.Table:
+def _unescaped(raw: bytes) -> list[str]:
+    text = zstandard.ZstdDecompressor().decompress(raw).decode("utf-8", "surrogatepass")
+    if "\1" not in text:
+        return text.split("\0")
+    return [re.sub("\1([\1\2])", lambda m: "\1" if m[1] == "\1" else "\0", w) for w in text.split("\0")]
+
+
+def _answers(path: str):
+    """For one bucket: (chunk, bucket, sizes, ids), each distinct word being encoded once."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        asked = [_unescaped(w.as_py()) for w in table.column("words")]
+        distinct = list(dict.fromkeys(w for words in asked for w in words))
+        known = dict(zip(distinct, tokens.encode_words(tokens.load(path), distinct), strict=True))
+        sizes, ids = [], []
+        for words in asked:
+            found = [known[w] for w in words]
+            sizes.append(_squeeze(np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4))
+            ids.append(_squeeze(np.frombuffer(b"".join(found), dtype="<u4")))
+        return pa.table([table.column("chunk").cast(pa.int64()), pa.array([key[0].as_py()] * len(asked), pa.int32()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "bucket", "sizes", "ids"])
+
+    return run
+
+
+def _joined(key: tuple[pa.Scalar, ...], chunk: pa.Table, coded: pa.Table) -> pa.Table:
     """The ids of a chunk's documents."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    doc_ids = chunk.column("doc_ids")[0].values
-    raw, n = unpack(chunk.column("places")[0].as_py()), len(doc_ids)
-    docs, places = np.frombuffer(raw, dtype=np.int64, count=n), np.frombuffer(raw, dtype=np.int32, offset=8 * n)
-    where, size, ids = [], [], []
-    for packed in coded.column("ids").to_pylist():
-        raw = unpack(packed)
-        k = int(np.frombuffer(raw, dtype=np.int64, count=1)[0])
-        where.append(np.frombuffer(raw, dtype=np.int32, count=k, offset=8))
-        size.append(np.frombuffer(raw, dtype=np.int32, count=k, offset=8 + 4 * k))
-        ids.append(np.frombuffer(raw, dtype="<u4", offset=8 + 8 * k))
-    none = np.zeros(0, dtype=np.int64)
-    where, size, ids = (np.concatenate([*x, none.astype(t)]) for x, t in ((where, np.int32), (size, np.int32), (ids, np.uint32)))
-    starts, sizes = np.zeros(len(where), dtype=np.int64), np.zeros(len(where), dtype=np.int64)
-    starts[where], sizes[where] = np.cumsum(size) - size, size
-    out, n_tokens, upto = [], [], np.concatenate(([0], np.cumsum(docs)))
+    coded = coded.sort_by("bucket")
+    none = np.zeros(0, dtype="<i4")
+    size = np.concatenate([none, *(_spread(x.as_py()) for x in coded.column("sizes"))]).astype(np.int64)
+    ids = np.concatenate([none, *(_spread(x.as_py()) for x in coded.column("ids"))]).view("<u4")
+    if chunk.num_rows != 1 or len(order := _spread(chunk.column("order")[0].as_py())) != len(size):
+        raise RuntimeError("the documents came in another order when they were read again")
+    docs, places = (_spread(chunk.column(c)[0].as_py()) for c in ("sizes", "places"))
+    starts, sizes = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+    starts[order], sizes[order] = np.cumsum(size) - size, size
+    n, out, n_tokens, upto = len(docs), [], [], np.concatenate(([0], np.cumsum(docs, dtype=np.int64)))
     begin = 0
     while begin < n:
         end = max(begin + 1, int(np.searchsorted(upto, upto[begin] + _TOKENS_AT_ONCE, side="right")) - 1)
         own = places[upto[begin] : upto[end]]
-        flat = gather(ids, starts[own], sizes[own])
         edge = np.concatenate(([0], np.cumsum(sizes[own])))[upto[begin : end + 1] - upto[begin]]
-        raw = flat.tobytes()
+        raw = gather(ids, starts[own], sizes[own]).tobytes()
         out += [raw[4 * a : 4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         n_tokens.append(np.diff(edge))
         begin = end
-    return pa.table([doc_ids, pa.array(np.concatenate(n_tokens)), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+    return pa.table([chunk.column("doc_ids")[0].values, pa.array(np.concatenate(n_tokens)), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -139,18 +168,16 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    slim = common.narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = slim.mapInArrow(_chunks, "doc_ids array<long>, words array<string>, places binary")
-    return common.stored(made.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each document."""
-    stored = chunks(docs)
-    words = stored.select(F.posexplode("words").alias("place", "word"), "chunk").select("word", "chunk", "place")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encoded(path), "chunk long, ids binary")
-    own = stored.select("chunk", "doc_ids", "places")
+    spark = docs.sparkSession
+    slim = common.narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if "Exchange" in slim._jdf.queryExecution().executedPlan().toString():
+        slim = common.stored(slim, "documents")
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = slim.mapInArrow(_requests(buckets), "bucket int, chunk long, words binary")
+    coded = asked.groupBy("bucket").applyInArrow(_answers(path), "chunk long, bucket int, sizes binary, ids binary")
+    own = slim.mapInArrow(_placed(buckets), "chunk long, doc_ids array<long>, sizes binary, places binary, order binary")
     return own.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_joined, "doc_id long, n_tokens long, ids binary")
 
 
