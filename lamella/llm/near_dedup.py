@@ -10,7 +10,7 @@ the interval of ranks is extended until it is hit.
 
 Documents with equal shingle sets form one class at once. Class signatures meet in ``BANDS`` bands of ``ROWS``
 coordinates. Within a bucket, members are compared with a centre (another one for each band), by their shingles;
-members of a bucket that this leaves in different components are then compared in pairs. Linked classes make groups
+members of a bucket that this leaves in different components are then compared block by block. Linked classes make groups
 by connected components. Each document learns its group's least doc_id.
 
 Edge cases: a document without words (null, empty, blank) is its own group; with 1 to 4 words it equals only the same
@@ -35,6 +35,8 @@ from .graph import components
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
 COORDINATES = BANDS * ROWS
+#: Members on each side of a comparison between components of one bucket, about.
+BLOCK = 128
 _U = np.uint64
 _NO_ID = -(1 << 63)
 _EMPTY = _U((1 << 64) - 1)
@@ -166,6 +168,76 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long")
 
 
+def _across(met: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between members of one bucket that the centres left in different components.
+
+    Members outside a bucket's largest component are compared with all others, in blocks of about BLOCK a side, so that
+    tasks stay small; a block yields only the links that join components, never its pairs.
+    """
+    placed = met.select("bucket", "cls").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    # With two members, the centre has been compared with the only other.
+    about = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("in_main")).where("n > 2 and in_main < n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    about = about.select("bucket", "main", blocks(F.col("n")).alias("wide"), blocks(F.col("n") - F.col("in_main")).alias("deep"))
+    open_ = stored(placed.join(about, "bucket"), "open")
+    mine = lambda salt, n: F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.where("root != main").select("bucket", mine(5, "deep").alias("i"), each("wide").alias("j"), F.lit(True).alias("lead"), "cls", "root")
+    right = open_.select("bucket", each("deep").alias("i"), mine(6, "wide").alias("j"), F.lit(False).alias("lead"), "cls", "root")
+    rows = left.union(right).join(sets, "cls").select("bucket", "i", "j", "lead", "cls", "root", "set")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare, "a long, b long")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links that join components, from rows sorted by block."""
+    held, key = [], None
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        left, right = ([r for r in rows if r[3] is lead] for lead in (True, False))
+        out, parent = [], {}
+
+        def top(k: int) -> int:
+            while parent.setdefault(k, k) != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        if left and right:
+            x, y = ([np.frombuffer(r[6], dtype=np.uint32) for r in side] for side in (left, right))
+            for i, j in zip(*(e.tolist() for e in np.nonzero(_similar(x, y))), strict=True):
+                a, b = top(left[i][5]), top(right[j][5])
+                if a != b:
+                    parent[a] = b
+                    out.append((left[i][4], right[j][4]))
+        return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:3] != key:
+                if held:
+                    yield found(held)
+                held, key = [], row[:3]
+            held.append(row)
+    if held:
+        yield found(held)
+
+
+def _similar(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets x are alike with which of y, by counts of common elements over stretches of their union."""
+    n, m = (np.array([len(s) for s in side]) for side in (x, y))
+    element, back = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(x) + len(y)), np.concatenate((n, m)))
+    order = np.argsort(back, kind="stable")
+    back, row = back[order], row[order]
+    both = np.zeros((len(x), len(y)), dtype=np.float32)
+    for begin in range(0, len(element), 8192):
+        lo, hi = np.searchsorted(back, (begin, begin + 8192))
+        held = np.zeros((len(x) + len(y), 8192), dtype=np.float32)
+        held[row[lo:hi], back[lo:hi] - begin] = 1
+        both += held[: len(x)] @ held[len(x) :].T
+    return both >= SIMILARITY * (n[:, None] + m[None, :] - both) - 1e-3
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """The documents as (doc_id, t, cls, bands); t is a hash of the text. Stored, as the steps below read it again."""
     slim = common.narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -191,16 +263,9 @@ def groups(docs: DataFrame) -> DataFrame:
 
     links = stored(_verified(pairs, sets), "links")
     root = components(links)
-    # Members of one bucket that are still apart: all pairs that the centres did not cover.
-    placed = met.join(root.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("root", "cls").alias("root"))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    open_ = stored(placed.join(apart, "bucket"), "open")
-    x, y = (open_.select("bucket", F.col("cls").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-    rest = stored(x.join(y, "bucket").where("a < b and a_root != b_root").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        more = stored(_verified(rest, sets), "links")
-        if more.limit(1).count():
-            root = components(links.union(more))
+    more = stored(_across(met, root, sets), "links")
+    if more.limit(1).count():
+        root = components(links.union(more))
 
     grouped = signed.select(_whole("doc_id").alias("d"), "t", "cls").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("d", "t", "cls", F.coalesce("root", "cls").alias("root"))
     heads = grouped.where("root is not null").groupBy("root").agg(F.min(F.struct("d", "t")).alias("head"), F.count("*").alias("n_group"))
