@@ -45,6 +45,18 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*(F.col(f"_{own.index(n)}").alias(n) for n in names))
 
 
+def kept_rows(docs: DataFrame, verdict: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows whose texts, as an Arrow array, get a true verdict, with all their columns, however those are named."""
+    own = docs.columns
+    flat, at = docs.toDF(*(f"_{i}" for i in range(len(own)))), own.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdict(batch.column(at)), pa.bool_()))
+
+    return flat.mapInArrow(run, flat.schema).toDF(*own)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

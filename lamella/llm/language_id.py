@@ -200,14 +200,13 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language can be told: those neither ``und`` nor ambiguous. All columns stay."""
-    shared, text, schema = docs.sparkSession.sparkContext.broadcast(model_of(docs)), docs.columns.index("text"), docs.schema
+    shared = docs.sparkSession.sparkContext.broadcast(model_of(docs))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, _, unsure, _ = predict(shared.value, batch.column(text))
-            yield batch.filter(pa.array((np.array(lang, dtype=object) != UNKNOWN) & ~unsure, pa.bool_()))
+    def verdict(texts: pa.Array) -> np.ndarray:
+        lang, _, unsure, _ = predict(shared.value, texts)
+        return (np.array(lang, dtype=object) != UNKNOWN) & ~unsure
 
-    return docs.mapInArrow(run, schema)
+    return common.kept_rows(docs, verdict)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,12 +137,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of ``docs`` whose text passes a policy, with all their columns."""
-    schema, text = docs.schema, docs.columns.index("text")
     rules = [name for name in RULES if POLICIES[policy] & BIT[name]]
 
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = measure(batch.column(text))
-            yield batch.filter(pa.array(~np.logical_or.reduce([RULES[name](m) for name in rules])))
+    def verdict(texts: pa.Array) -> np.ndarray:
+        m = measure(texts)
+        return ~np.logical_or.reduce([RULES[name](m) for name in rules])
 
-    return docs.mapInArrow(chosen, schema)
+    return common.kept_rows(docs, verdict)
