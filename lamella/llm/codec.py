@@ -36,7 +36,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common, tokens
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 _TOKENS_AT_ONCE = 1_000_000
 
 
