@@ -35,7 +35,7 @@ EPSILON = math.sqrt(2 - 2 * COSINE)
 BLOCK, AXES, SAMPLE_ROWS, SAMPLE_VALUES = 256, 6, 5_000, 2_000_000
 #: How far a block's position is shifted for the intervals above it: 16 blocks, a partition, 16 partitions, and so on.
 _IN_PARTITION = 20
-_NO_ID = -(1 << 63)
+_NO_ID = (1 << 63) - 1
 
 
 def _units(raw: list[np.ndarray] | np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ COORDINATES = BANDS * ROWS
 #: Members on each side of a comparison between components of one bucket, about.
 BLOCK = 128
 _U = np.uint64
-_NO_ID = -(1 << 63)
+_NO_ID = (1 << 63) - 1
 _EMPTY = _U((1 << 64) - 1)
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(18)])
 
@@ -268,7 +268,8 @@ def groups(docs: DataFrame) -> DataFrame:
         root = components(links.union(more))
 
     grouped = signed.select(_whole("doc_id").alias("d"), "t", "cls").join(root.withColumnRenamed("node", "cls"), "cls", "left").select("d", "t", "cls", F.coalesce("root", "cls").alias("root"))
-    heads = grouped.where("root is not null").groupBy("root").agg(F.min(F.struct("d", "t")).alias("head"), F.count("*").alias("n_group"))
+    # Stored, so that the join below has nothing but shuffles under it and a large group can be split.
+    heads = stored(grouped.where("root is not null").groupBy("root").agg(F.min(F.struct("d", "t")).alias("head"), F.count("*").alias("n_group")), "heads")
     # Documents without words have no class: they take a key of their own, so that they don't meet in one task.
     keyed = grouped.withColumn("root", F.coalesce("root", F.xxhash64("d", F.lit("blank"))))
     own = F.when(F.col("cls").isNotNull(), F.col("head"))
@@ -279,7 +280,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def _whole(name: str) -> Column:
-    """A null doc_id as the least long, for joins."""
+    """A null doc_id as the greatest long, for joins and to come last."""
     return F.coalesce(F.col(name).cast("long"), F.lit(_NO_ID))
 
 

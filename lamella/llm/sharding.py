@@ -4,11 +4,12 @@ Documents are linked where their texts are equal. They are gathered into cells:
 doc_ids, into as many cells as keep a cell small, so that a group of any size is spread over tasks. Every cell starts at a
 shard by its hash. In each round, a join tells every cell where most of its group's documents are; cells ask to move
 there, a shard grants as many requests as its quota has room for, whole groups at once in the order of a hash, and moves
-lower the number of cut links. A group beyond a shard's quota settles in as many shards as it needs.
+lower the number of cut links. A group beyond a shard's quota can't settle in one and is laid into the sequence whole,
+before the others.
 
 The law kept is ``rows``: counts at most one apart. Shards, groups within them, and documents within groups make one
 sequence; running sums by hierarchy (shard and part, cell, row) number it without gathering it, and equal slices of it are
-the final shards. As propagation has kept the shards near their quota, slices cut only groups at their borders.
+the final shards. They cut a group at their borders at most, and where quotas have kept it from coming together.
 
 Edge cases: a null text has no bytes and equals an empty one; repeated rows and null doc_ids take a row each; with fewer
 documents than shards some stay empty; a table without rows gives none; other columns are ignored.
@@ -22,21 +23,21 @@ from pyspark.sql import functions as F
 from . import common
 from .common import stored
 
-SHARDS, ROUNDS = 40, 3
+SHARDS, ROUNDS = 40, 4
 #: Cells of a group, and parts of a shard, for running sums.
 CELLS, PARTS = 64, 64
-#: Room over the even share that a shard may take while labels propagate.
-SLACK = 1.02
+#: Room over the even share that a shard may take while labels propagate; the slices at the end are even.
+SLACK = 1.25
 
 
 def _hashed(salt: int, *columns: str) -> Column:
     return F.xxhash64(*columns, F.lit(salt))
 
 
-def _proposed(cells: DataFrame, shards: int) -> DataFrame:
-    """Each cell with ``to``, the shard that holds most of its group; the lower one at ties."""
+def _proposed(cells: DataFrame) -> DataFrame:
+    """Each cell with ``to``, the shard that holds most of its group; by a hash at ties, as these would else all go one way."""
     held = cells.groupBy("g", "shard").agg(F.sum("n").alias("n"))
-    best = held.groupBy("g").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("to"), F.sum("n").alias("group_n"))
+    best = held.groupBy("g").agg(F.max_by("shard", F.struct("n", _hashed(5, "g", "shard"))).alias("to"))
     return cells.join(best, "g")
 
 
@@ -46,11 +47,7 @@ def propagate(cells: DataFrame, total: int, shards: int, rounds: int = ROUNDS) -
     fixed = lambda salt: F.pmod(_hashed(salt, "g", "sub"), F.lit(shards)).cast("int")
     now = cells.withColumn("shard", fixed(1))
     for k in range(rounds):
-        asked = _proposed(now, shards)
-        # A group too large for one shard spreads over the least number of them that follow its favourite.
-        wide = F.ceil(F.col("group_n") / quota).cast("int")
-        target = F.pmod(F.col("to") + F.when(wide > 1, F.pmod(_hashed(2, "sub"), wide).cast("int")).otherwise(0), F.lit(shards)).cast("int")
-        asked = asked.withColumn("to", target)
+        asked = _proposed(now)
         # Load and requests of each shard: a row for each shard, summed before anything is moved.
         load = asked.groupBy("shard").agg(F.sum("n").alias("load"), F.sum(F.when(F.col("to") != F.col("shard"), F.col("n")).otherwise(0)).alias("leaving"))
         want = asked.where("to != shard").groupBy("to").agg(F.sum("n").alias("want"))
@@ -72,10 +69,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = stored(rows.withColumn("in_cell", F.row_number().over(in_cell).cast("long") - 1), "rows")
     cells = stored(rows.groupBy("g", "sub").agg(F.count("*").alias("n")), "cells")
     total = cells.agg(F.sum("n")).first()[0] or 0
-    linked = cells.groupBy("g").agg(F.count("*").alias("k"))
-    many = stored(cells.join(linked, "g").select("g", "sub", "n", (F.col("k") > 1).alias("linked")), "cells")
-    lone = many.where("not linked").select("g", "sub", "n", F.pmod(_hashed(1, "g", "sub"), F.lit(shards)).cast("int").alias("shard"))
-    labelled = propagate(many.where("linked").select("g", "sub", "n"), total, shards).union(lone)
+    linked = cells.groupBy("g").agg(F.count("*").alias("k"), F.sum("n").alias("group_n"))
+    kind = F.when(F.col("group_n") * shards > SLACK * total, "wide").when(F.col("k") > 1, "linked").otherwise("lone")
+    sorts = stored(cells.join(linked, "g").select("g", "sub", "n", kind.alias("kind")), "cells")
+    of = lambda k: sorts.where(F.col("kind") == k).select("g", "sub", "n")
+    lone = of("lone").withColumn("shard", F.pmod(_hashed(1, "g", "sub"), F.lit(shards)).cast("int"))
+    labelled = propagate(of("linked"), total, shards).union(lone).union(of("wide").withColumn("shard", F.lit(-1)))
 
     # One sequence by (shard, part, g, sub): a part is a share of a shard's groups.
     parted = labelled.withColumn("part", F.pmod(_hashed(4, "g"), F.lit(PARTS)).cast("int"))
