@@ -146,10 +146,15 @@ class Slice:
         return start, end, np.searchsorted(self.starts, start, side="right") - 1
 
 
+def _raw(texts: pa.Array) -> Iterator[bytes | None]:
+    for k in range(0, len(texts), 256):
+        yield from texts.slice(k, 256).cast(pa.large_binary()).to_pylist()
+
+
 def slices(texts: list[str | None] | pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
     """Whole documents in slices of about ``size`` bytes; a null text counts as empty."""
     if isinstance(texts, (pa.Array, pa.ChunkedArray)):
-        texts = texts.cast(pa.large_binary()).to_pylist()
+        texts = _raw(texts)
     first, held, held_size = 0, [], 0
     for k, text in enumerate(texts):
         raw = b"" if text is None else text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
