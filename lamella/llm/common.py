@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the kernel works on at once; a longer document is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
@@ -151,7 +151,7 @@ def _raw(texts: pa.Array) -> Iterator[bytes | None]:
         yield from texts.slice(k, 256).cast(pa.large_binary()).to_pylist()
 
 
-def slices(texts: list[str | None] | pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
+def slices(texts: Iterable[str | bytes | None] | pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
     """Whole documents in slices of about ``size`` bytes; a null text counts as empty."""
     if isinstance(texts, (pa.Array, pa.ChunkedArray)):
         texts = _raw(texts)

@@ -57,8 +57,9 @@ def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([b.astype(np.int64), squeeze(two), squeeze(three)])
 
 
-def _lower(texts: pa.Array) -> pa.Array:
-    return pc.utf8_lower(texts.cast(pa.large_string()))
+def _lower(texts: pa.Array) -> Iterator[bytes | None]:
+    for k in range(0, len(texts), 256):
+        yield from pc.utf8_lower(texts.slice(k, 256).cast(pa.large_string())).cast(pa.large_binary()).to_pylist()
 
 
 def _has_letter(texts: list[bytes]) -> np.ndarray:
@@ -72,11 +73,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column(1).to_pylist(), dtype=object)
-        texts = _lower(batch.column(0))
+        texts = batch.column(0)
         for lang in dict.fromkeys(langs):
             own = texts.filter(pa.array(langs == lang))
             into = held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            for part in common.slices(own):
+            for part in common.slices(_lower(own)):
                 for g in grams(part.data, part.starts):
                     into += np.bincount(g, minlength=BUCKETS)
     for lang, counts in held.items():

@@ -259,7 +259,8 @@ def groups(docs: DataFrame) -> DataFrame:
 
     wanted = lone.join(met.select("cls").distinct(), "cls").select("cls", "d", "t")
     own = common.narrow(docs, "doc_id", "text").select(_whole("doc_id").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
-    sets = stored(own.join(wanted, ["d", "t"]).select("cls", "text").mapInArrow(_sets, "cls long, set binary"), "sets").dropDuplicates(["cls"])
+    # Repeated rows give a set twice; it is stored once, so that the joins below have nothing but shuffles under them.
+    sets = stored(own.join(wanted, ["d", "t"]).select("cls", "text").mapInArrow(_sets, "cls long, set binary").dropDuplicates(["cls"]), "sets")
 
     links = stored(_verified(pairs, sets), "links")
     root = components(links)
@@ -300,3 +301,16 @@ def keep(docs: DataFrame) -> DataFrame:
     flat = docs.toDF(*(f"_{i}" for i in range(len(own))))
     keyed = flat.withColumn("d", _whole(f"_{own.index('doc_id')}")).withColumn("t", F.xxhash64(F.col(f"_{own.index('text')}").cast("string")))
     return keyed.join(chosen, ["d", "t"]).dropDuplicates(["d", "t"]).drop("d", "t").toDF(*own)
+
+
+def oracle() -> str:
+    """op7 as DuckDB SQL: pairs that share a shingle, then the closure of those alike."""
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {WIDTH - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= {SIMILARITY} * (x.n + y.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+g AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM r GROUP BY 1)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM g"""

@@ -135,6 +135,29 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), passes().alias("kept"), F.col("failed").alias("failure_bits"))
 
 
+def oracle() -> str:
+    """op9 as DuckDB SQL."""
+    conditions = {
+        "too_short": "n_words < 50", "repeated_windows": "n_repeat_words * 100 > n_words * 50", "symbols": "n_symbols * 100 > n_words * 25",
+        "repeated_lines": "n_lines >= 4 AND n_dup_lines * 100 > n_lines * 40", "word_length": "word_chars > n_words * 20 OR word_chars < n_words * 2", "few_letters": "n_letters * 100 < word_chars * 30",
+    }
+    bits = " + ".join(f"CASE WHEN {conditions[name]} THEN {bit} ELSE 0 END" for name, bit in BIT.items())
+    word = r"[^\x20\x09-\x0D]"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM (SELECT k, regexp_extract_all(t, '{word}+') AS words FROM d)),
+g AS (SELECT k, w, i, w || ' ' || lead(w) OVER p || ' ' || lead(w, 2) OVER p AS g FROM w WINDOW p AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT k, w, i, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY k, g) > 1 THEN 1 ELSE 0 END AS r FROM g),
+c AS (SELECT k, w, max(r) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c FROM r),
+m AS (SELECT k, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, CAST(sum(c) AS BIGINT) AS n_repeat_words FROM c GROUP BY 1),
+l AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT k, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{word}') GROUP BY 1),
+a AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+  length(regexp_replace(t, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS n_letters FROM d LEFT JOIN m USING (k) LEFT JOIN l USING (k)),
+b AS (SELECT *, CAST({bits} AS BIGINT) AS failure_bits FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failure_bits & {POLICIES["base-1"]}) <> 0 AS base_failed, (failure_bits & {POLICIES[CURRENT]}) = 0 AS kept, failure_bits FROM b"""
+
+
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of ``docs`` whose text passes a policy, with all their columns."""
     rules = [name for name in RULES if POLICIES[policy] & BIT[name]]

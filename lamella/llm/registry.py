@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.oracle()}
+    return {
+        "op4_embedding_dedup": embedding_dedup.oracle(),
+        "op6_url_filter": url_filter.oracle(),
+        "op7_near_dedup": near_dedup.oracle(),
+        "op9_quality_rules": quality_rules.oracle(),
+    }
