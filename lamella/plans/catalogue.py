@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import bloom, encoding, pages
+from ..operators import bloom, encoding, pages, relational
 from ..operators.table import Table, equi_filter, equi_page_counts, formatted, lookup, lookup_batches, page_counts, scan
 from ..sources.text import field, window
 
@@ -421,3 +421,37 @@ def nested_roundtrip(spark, sf_dir):
 @query("SELECT concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority) AS line FROM orders")
 def format_rows(spark, sf_dir):
     return formatted(scan(orders(spark, sf_dir), ["o_orderkey", "o_orderstatus", "o_orderpriority"]))
+
+
+# Extensions: what the numbered tables are joined, sorted and grouped with
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority >= '2-HIGH' AND o_orderpriority <= '3-MEDIUM'")
+def range_filter(spark, sf_dir):
+    return relational.range_filter(orders(spark, sf_dir), "o_orderpriority", "2-HIGH", "3-MEDIUM", ["o_orderkey", "o_orderpriority"])
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_inner(spark, sf_dir):
+    return relational.join(orders(spark, sf_dir), customers(spark, sf_dir), [("o_custkey", "c_custkey")], columns=["o_orderkey", "c_name"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def join_anti(spark, sf_dir):
+    return relational.join(customers(spark, sf_dir), orders(spark, sf_dir), [("c_custkey", "o_custkey")], "left_anti", ["c_custkey", "c_name"])
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC, o_custkey DESC, o_orderkey LIMIT 25")
+def sort_top(spark, sf_dir):
+    return relational.sort(orders(spark, sf_dir), ["o_orderpriority", "o_custkey"], True, 25).select("o_orderkey", "o_custkey", "o_orderpriority")
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, count(DISTINCT o_custkey) AS customers, min(o_orderkey) AS first FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)")
+def group_by_cube(spark, sf_dir):
+    totals = [F.count("*").alias("n"), F.count_distinct("o_custkey").alias("customers"), F.min("o_orderkey").alias("first")]
+    return relational.aggregate(orders(spark, sf_dir), ["o_orderpriority", "o_orderstatus"], totals, "cube")
+
+
+@query("SELECT count(*) AS n, min(o_orderpriority) AS lo, max(o_orderpriority) AS hi FROM orders")
+def aggregate_all(spark, sf_dir):
+    return relational.aggregate(orders(spark, sf_dir), [], [F.count("*").alias("n"), F.min("o_orderpriority").alias("lo"), F.max("o_orderpriority").alias("hi")])

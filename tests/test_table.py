@@ -64,7 +64,7 @@ def test_formatted(table):
 
 
 def test_not_a_dataset(spark, tmp_path):
-    (tmp_path / "x.parquet").write_text("DIFF, but not a dataset")
+    (tmp_path / "x.parquet").write_text("no dataset at all")
     with pytest.raises(Exception):
         Table.open(spark, str(tmp_path / "x.parquet")).df.count()
 
