@@ -125,3 +125,15 @@ def measured_fpp(filter_: DataFrame, p: Parameters) -> DataFrame:
     """(bits_set, fpp): the same from the bits that are set, which holds after set operations too."""
     count = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0))
     return filter_.agg(count.alias("bits_set"), F.pow(count / p.bits, F.lit(p.hashes)).alias("fpp"))
+
+
+def describe(filter_: DataFrame, p: Parameters, inserted: int) -> DataFrame:
+    """(bits, hashes, seed, folds, bits_set, is_empty, expected_fpp) of a filter."""
+    count = F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).cast("long")
+    known = {"bits": p.bits, "hashes": p.hashes, "seed": p.seed, "folds": len(p.sizes)}
+    return filter_.agg(*(F.lit(v).cast("long").alias(k) for k, v in known.items()), count.alias("bits_set"), (count == 0).alias("is_empty"), F.lit(expected_fpp(p, inserted)).alias("expected_fpp"))
+
+
+def same(a: DataFrame, b: DataFrame, pa: Parameters, pb: Parameters) -> bool:
+    """Whether two filters have equal parameters and bits."""
+    return pa == pb and not a.union(b).groupBy("word").agg(F.bit_xor("bits").alias("bits")).where("bits != 0").limit(1).count()

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,10 @@ class Table:
             out.append(F.col(name).alias(f"{name}_{again}" if again else name))
         return out
 
+    def cached(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Table:
+        """The same rows, kept after they are first read; ``df.unpersist()`` lets them go."""
+        return Table(self.df.persist(level), self.rid, self.page_size)
+
     def page(self) -> Column:
         return F.expr(f"`{self.rid}` div {self.page_size}")
 

@@ -63,3 +63,13 @@ def test_rates(spark, words):
     assert empty.count() == 0
     assert bloom.measured_fpp(empty, P).first().fpp == 0
     assert bloom.contains(words, "w", empty, P).where("found").count() == 0
+
+
+def test_descriptions(words):
+    own = bloom.build(words, "w", P)
+    row = bloom.describe(own, P, 103).first()
+    assert (row.bits, row.hashes, row.seed, row.folds, row.is_empty) == (P.bits, P.hashes, P.seed, 0, False)
+    assert row.bits_set == bloom.set_bits(own).count()
+    assert bloom.same(own, bloom.build(words.union(words), "w", P), P, P)
+    assert not bloom.same(own, bloom.build(words.where("w != 'XYZ'"), "w", P), P, P)
+    assert bloom.describe(own.limit(0), P, 0).first().is_empty
