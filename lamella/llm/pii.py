@@ -134,9 +134,8 @@ def _synthetic(spark: SparkSession) -> DataFrame:
 
 
 @cache
-def _model() -> tuple[tuple[boosting.Tree, ...], dict[str, float]]:
-    """Trees and each kind's threshold, fitted once in a process; at most SAMPLE rows of features reach the driver."""
-    spark = SparkSession.getActiveSession()
+def _model(spark: SparkSession) -> tuple[tuple[boosting.Tree, ...], dict[str, float]]:
+    """Trees and each kind's threshold, fitted once in a session; at most SAMPLE rows of features reach the driver."""
     rows = _synthetic(spark).withColumn("c", F.lit(None).cast("array<struct<start:int,end:int,x:array<double>>>"))
     for kind in KINDS:
         rows = rows.withColumn("c", F.when(F.col("kind") == kind, candidates(F.col("text"), kind)).otherwise(F.col("c")))
@@ -173,7 +172,7 @@ def _selected(kind: str, trees: tuple[boosting.Tree, ...], least: float) -> Colu
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, text and ``base`` and ``more``: spans (kind, start, end), by kind as listed and then start."""
-    trees, least = _model()
+    trees, least = _model(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     slim = common.narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     exact = slim.select("doc_id", "text", *(base(F.col("text"), k).alias(f"base_{k}") for k in KINDS), *(candidates(F.col("text"), k).alias(f"loose_{k}") for k in KINDS))

@@ -84,7 +84,7 @@ def test_candidates_are_chosen_by_context(docs):
 
 
 def test_held_out_candidates(spark):
-    trees, least = pii._model()
+    trees, least = pii._model(spark)
     assert len(trees) == 24
     assert all(least[k] < 100 for k in pii.KINDS)
 
