@@ -129,18 +129,21 @@ def _unescaped(raw: bytes) -> list[str]:
 
 
 def _answers(path: str):
-    """For one bucket: (chunk, bucket, sizes, ids), each distinct word being encoded once."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        asked = [_unescaped(w.as_py()) for w in table.column("words")]
-        distinct = list(dict.fromkeys(w for words in asked for w in words))
-        known = dict(zip(distinct, tokens.encode_words(tokens.load(path), distinct), strict=True))
-        sizes, ids = [], []
-        for words in asked:
-            found = [known[w] for w in words]
-            sizes.append(_squeeze(np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4))
-            ids.append(_squeeze(np.frombuffer(b"".join(found), dtype="<u4")))
-        return pa.table([table.column("chunk").cast(pa.int64()), pa.array([key[0].as_py()] * len(asked), pa.int32()), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "bucket", "sizes", "ids"])
+    """(chunk, bucket, sizes, ids) of each request. All requests for a bucket come to one partition, where each distinct
+    word is encoded once; what is held is the partition's distinct words and a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, known = tokens.load(path), {}
+        for batch in _some(batches):
+            asked = [_unescaped(w) for w in batch.column(2).to_pylist()]
+            new = list(set().union(*asked).difference(known))
+            known.update(zip(new, tokens.encode_words(tokenizer, new), strict=True))
+            sizes, ids = [], []
+            for words in asked:
+                found = [known[w] for w in words]
+                sizes.append(_squeeze(np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4))
+                ids.append(_squeeze(np.frombuffer(b"".join(found), dtype="<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "bucket", "sizes", "ids"])
 
     return run
 
@@ -183,7 +186,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         slim = common.stored(slim, "documents")
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = slim.mapInArrow(_requests(buckets), "bucket int, chunk long, words binary")
-    coded = asked.groupBy("bucket").applyInArrow(_answers(path), "chunk long, bucket int, sizes binary, ids binary")
+    coded = asked.repartition("bucket").mapInArrow(_answers(path), "chunk long, bucket int, sizes binary, ids binary")
     own = slim.mapInArrow(_placed(buckets), "chunk long, doc_ids array<long>, sizes binary, places binary, order binary")
     return own.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_joined, "doc_id long, n_tokens long, ids binary")
 
