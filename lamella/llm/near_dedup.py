@@ -154,10 +154,10 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.zeros(len(batch), dtype=bool)
         for k in range(len(batch)):
             x, y = (np.frombuffer(s[k].as_buffer(), dtype=np.uint32) for s in (left, right))
-            if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)):
+            if min(len(x), len(y)) >= SIMILARITY * max(len(x), len(y)) - 1e-6:
                 both = np.sort(np.concatenate((x, y)), kind="stable")
                 common_ = int((both[1:] == both[:-1]).sum())
-                keep[k] = common_ >= SIMILARITY * (len(x) + len(y) - common_)
+                keep[k] = common_ >= SIMILARITY * (len(x) + len(y) - common_) - 1e-6
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 

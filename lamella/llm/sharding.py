@@ -25,7 +25,7 @@ from .common import stored
 
 SHARDS, ROUNDS = 40, 4
 #: Cells of a group, and parts of a shard, for running sums.
-CELLS, PARTS = 64, 64
+CELLS, PARTS = 64, 256
 #: Room over the even share that a shard may take while labels propagate; the slices at the end are even.
 SLACK = 1.25
 
