@@ -35,7 +35,7 @@ def _pieces(path: str, longest: int, end: int):
     tail = np.uint32(end).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = tokens.cache_for(path)
+        cache = tokens.WordCache(path)  # a task's own: workers live on, and its room with them
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             begin, size = 0, 0

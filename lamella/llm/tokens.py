@@ -22,8 +22,8 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _fine = re.compile(f"[ \n]*[{_LETTER}]+|[ \n]*[^ \n{_LETTER}]+[{_LETTER}]*|[ \n]+").findall
 _odd = re.compile(f"[^\n -~{_LETTER}]").search
 #: Words that a cache holds before it starts afresh, and the longest that it keeps.
-CACHED_WORDS, LONGEST_CACHED = 1_200_000, 64
-_AT_ONCE, _JOINED = 20_000, 400
+CACHED_WORDS, LONGEST_CACHED = 400_000, 64
+_AT_ONCE, _JOINED = 20_000, 100
 #: Stands between words that are encoded together, as a token of its own.
 _MARK = "~"
 
@@ -34,15 +34,17 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-@lru_cache(maxsize=2)
-def load(path: str):
-    """The tokenizer of a file, without truncation and padding, on one thread."""
+@lru_cache(maxsize=4)
+def load(path: str, bare: bool = False):
+    """The tokenizer of a file, without truncation and padding, on one thread; ``bare``: without its normalizer too."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
     own.no_truncation()
     own.no_padding()
+    if bare:
+        own.normalizer = None
     return own
 
 
@@ -81,17 +83,11 @@ def pieces(text: str, fold: bool = False) -> list[str]:
     return _fine(text.lower() if fold else text)
 
 
-@lru_cache(maxsize=1)
-def cache_for(path: str) -> WordCache:
-    """One cache for a worker process, which later tasks go on using."""
-    return WordCache(path)
-
-
 class WordCache:
     """Encodes whole texts, each word once for as long as the cache holds it."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = load(path), {}
+        self.tokenizer, self.bare, self.known = load(path), load(path, True), {}
         with open(path, encoding="utf-8") as f:
             self.fold = '"Lowercase"' in json.dumps(json.load(f)["normalizer"])
 
@@ -102,7 +98,10 @@ class WordCache:
             self.known = {}
             new = list(set().union(*words))
         known = self.known
-        known.update(zip(new, encode_words(self.tokenizer, new), strict=True))
+        # Lower-case Latin words are as the normalizer would leave them, but for white space, which is dropped.
+        plain = {w for w in new if not _odd(w) and w.lower() == w} if self.fold else set()
+        for tokenizer, own in ((self.bare, list(plain)), (self.tokenizer, [w for w in new if w not in plain])):
+            known.update(zip(own, encode_words(tokenizer, own), strict=True))
         out = [b"".join(map(known.__getitem__, w)) for w in words]
         for w in new:
             if len(w) > LONGEST_CACHED:
