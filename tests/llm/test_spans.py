@@ -57,7 +57,7 @@ def test_exact_forms(docs):
 PARTS = ["1", "23", "4111111111111111", ".", "+", "@", "a", "x.y", " ", "-", "(", "token", "=", ":", '"', "AKIA", "ABCDEFGHIJKLMNOP", "deadbeef", "é", "_", "255", "password", "api_key", "SECRET", "😀"]
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join), min_size=40, max_size=60))
 def test_exact_forms_of_random_texts(docs, texts):
     for found, brute in ((pii.find, pii_spans), (secret_scan.find, secret_spans)):
@@ -136,7 +136,7 @@ def brute_links(parts):
     return [tuple(s) for s in sorted(parts) if s[3] and need[s[2]](s)]
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 2), st.booleans()), max_size=25), min_size=30, max_size=40))
 def test_interval_join(spark, lists):
     made = []
