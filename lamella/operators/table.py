@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -98,8 +99,8 @@ def page_counts(table: Table) -> DataFrame:
 
 
 def requests(spark: SparkSession, rids: Sequence[int]) -> DataFrame:
-    """(req_pos, rid) of a list of row numbers."""
-    return spark.createDataFrame([(k, int(r)) for k, r in enumerate(rids)], "req_pos long, rid long")
+    """(req_pos, rid) of a list of row numbers, as a local relation whose size Spark knows."""
+    return spark.createDataFrame(pa.table({"req_pos": pa.array(range(len(rids)), pa.int64()), "rid": pa.array([int(r) for r in rids], pa.int64())}))
 
 
 def lookup(table: Table, rids: Sequence[int] | DataFrame, columns: Sequence[str | int] | None = None) -> DataFrame:
@@ -109,14 +110,16 @@ def lookup(table: Table, rids: Sequence[int] | DataFrame, columns: Sequence[str
     ``rids`` is a list, or a table (req_pos, rid). A short list goes down to the scan, where it skips row groups.
     """
     rows = table.df.withColumnRenamed(table.rid, "_rid")
+    few = not isinstance(rids, DataFrame) and len(rids) <= PUSHED_ROWS
     if not isinstance(rids, DataFrame):
-        if len(rids) <= PUSHED_ROWS:
+        if few:
             rows = rows.where(F.col("_rid").isin([int(r) for r in set(rids)]))
         rids = requests(table.df.sparkSession, rids)
     named = Table(rows, "_rid", table.page_size)
     asked = rids.select("req_pos", F.col("rid").alias("_asked"))
     chosen = [c for c in named.projected(columns)]
-    return asked.join(rows, asked["_asked"] == rows["_rid"]).select("req_pos", *chosen).orderBy("req_pos")
+    found = asked.join(rows, asked["_asked"] == rows["_rid"]).select("req_pos", *chosen)
+    return found.repartition(1).sortWithinPartitions("req_pos") if few else found.orderBy("req_pos")
 
 
 def lookup_batches(spark: SparkSession, rids: Sequence[int], page_size: int = PAGE_SIZE) -> DataFrame:

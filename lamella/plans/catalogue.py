@@ -6,9 +6,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import codec
 from ..operators import bloom, encoding, pages, relational
@@ -43,8 +45,15 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """A table's columns, read from its footer once in a session."""
+    return spark.read.parquet(path).schema
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Table:
