@@ -384,6 +384,76 @@ def bloom_contains_all(spark, sf_dir):
     return bloom.contains_all(_names(spark, sf_dir, _A), "c_name", _filter(spark, sf_dir, _A), BLOOM)
 
 
+# The same over whole columns: the operands are the names of all customers and of all suppliers, and both filters have
+# room for as many elements as there are distinct names. The queries above keep to the id ranges that their SQL names.
+
+_CUSTOMERS, _SUPPLIERS = "SELECT c_name AS name FROM customer", "SELECT s_name AS name FROM supplier"
+_PERCENT = 5
+#: The number of hashes depends on the probability alone.
+_HASHES = BLOOM.hashes
+_SIZED = f"""(SELECT bits, CAST(floor(bits * (1 - CAST({_PERCENT} AS DOUBLE) / 100)) AS BIGINT) // 8 * 8 AS folded FROM
+(SELECT CAST(ceil(floor(-{_HASHES} * greatest(count(DISTINCT name), 1) / ln(1 - pow(0.01, 1.0 / {_HASHES}))) / 8) * 8 AS BIGINT) AS bits FROM ({_CUSTOMERS} UNION ALL {_SUPPLIERS})))"""
+
+
+def _hashed(names: str) -> str:
+    """SQL: each name with its bits, one for each hash, and the size that a fold leaves."""
+    return f"SELECT name, k, CAST(('0x' || substr(md5(k || ':{BLOOM.seed}:' || name), 1, 8)) AS BIGINT) % bits AS bit, folded FROM ({names}), (SELECT unnest(range({_HASHES})) AS k), {_SIZED} WHERE name IS NOT NULL"
+
+
+def _whole_bits(names: str) -> str:
+    return f"SELECT DISTINCT bit FROM ({_hashed(names)})"
+
+
+#: SQL: whether each customer's and supplier's name is found in the customers' filter.
+_FOUND = f"""SELECT name AS value, bool_and(held.bit IS NOT NULL) AS found FROM ({_hashed(f"{_CUSTOMERS} UNION {_SUPPLIERS}")}) AS own
+LEFT JOIN ({_whole_bits(_CUSTOMERS)}) AS held ON own.bit = held.bit GROUP BY 1"""
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, bloom.Parameters]:
+    """All customers' names, all suppliers' names, and the parameters of filters with room for both."""
+    a = _read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"))
+    b = _read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    elements = a.union(b).agg(F.count_distinct("name")).first()[0]
+    return a, b, bloom.optimal(max(elements, 1), 0.01, portable=True)
+
+
+@query(f"{_whole_bits(_CUSTOMERS)} UNION {_whole_bits(_SUPPLIERS)}")
+def bloom_union_whole(spark, sf_dir):
+    a, b, p = _whole(spark, sf_dir)
+    return bloom.set_bits(bloom.union(bloom.build(a, "name", p), bloom.build(b, "name", p), p, p))
+
+
+@query(f"{_whole_bits(_CUSTOMERS)} INTERSECT {_whole_bits(_SUPPLIERS)}")
+def bloom_intersect_whole(spark, sf_dir):
+    a, b, p = _whole(spark, sf_dir)
+    return bloom.set_bits(bloom.intersection(bloom.build(a, "name", p), bloom.build(b, "name", p), p, p))
+
+
+@query(f"SELECT bit FROM ({_whole_bits(_CUSTOMERS)} UNION ALL {_whole_bits(_SUPPLIERS)}) GROUP BY 1 HAVING count(*) = 1")
+def bloom_xor_whole(spark, sf_dir):
+    a, b, p = _whole(spark, sf_dir)
+    return bloom.set_bits(bloom.difference(bloom.build(a, "name", p), bloom.build(b, "name", p), p, p))
+
+
+@query(f"SELECT DISTINCT bit % folded AS bit FROM ({_hashed(_CUSTOMERS)})")
+def bloom_fold_whole(spark, sf_dir):
+    a, _, p = _whole(spark, sf_dir)
+    return bloom.set_bits(bloom.fold(bloom.build(a, "name", p), p, _PERCENT)[0])
+
+
+@query(_FOUND)
+def bloom_contains_whole(spark, sf_dir):
+    a, b, p = _whole(spark, sf_dir)
+    return bloom.contains(a.union(b), "name", bloom.build(a, "name", p), p)
+
+
+@query(f"""SELECT coalesce(bool_and(found), true) AS all_found, coalesce(bool_and(NOT found), true) AS none_found, min(CASE WHEN NOT found THEN value END) AS first_missing,
+min(CASE WHEN found THEN value END) AS first_found FROM ({_FOUND})""")
+def bloom_contains_all_whole(spark, sf_dir):
+    a, b, p = _whole(spark, sf_dir)
+    return bloom.contains_all(a.union(b), "name", bloom.build(a, "name", p), p)
+
+
 @query(f"SELECT count(*) AS bits_set, round(pow(count(*) / {BLOOM.bits}.0, {BLOOM.hashes}), 9) AS fpp FROM ({_bits('true')})")
 def bloom_fpp(spark, sf_dir):
     return bloom.measured_fpp(_filter(spark, sf_dir, "true"), BLOOM).select(F.col("bits_set").cast("long").alias("bits_set"), F.round("fpp", 9).alias("fpp"))
