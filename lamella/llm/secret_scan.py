@@ -34,8 +34,8 @@ _CHEAP = {
 _CODED = "[A-Za-z0-9+/_-]"
 LOOSE = {
     "identifier": r"(?i:client_?id|access_?key(?:_?id)?|user_?name|account_?id|login|user)[\"']?+ *+[:=] *+[\"']?+([A-Za-z0-9@._-]{3,64}+)",
-    # Mixed letters and digits, as keys are; a run that is longer than any key is left alone.
-    "secret": rf"(?<!{_CODED})(?=[a-z+/_-]*+[A-Z0-9])(?=[^a-z]{{0,64}}[a-z])(?=[^A-Z]{{0,64}}[A-Z])(?=[^0-9]{{0,64}}[0-9]){_CODED}{{20,88}}+={{0,2}}+(?!{_CODED})",
+    # Mixed letters and digits, as keys are, in a run of any length; what a long run lacks in its first 64 characters may come later in it.
+    "secret": rf"(?<!{_CODED})(?=[a-z+/_-]*+[A-Z0-9])(?=[^a-z]{{0,64}}[a-z]|[A-Z0-9+/_-]*+[a-z])(?=[^A-Z]{{0,64}}[A-Z]|[a-z0-9+/_-]*+[A-Z])(?=[^0-9]{{0,64}}[0-9]|[A-Za-z+/_-]*+[0-9]){_CODED}{{20,}}+={{0,2}}+(?!{_CODED})",
     "endpoint": r"(?:https?|ftp|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqp|s3)://[^\s\"'<>]{4,2048}+|(?i:host|endpoint|server|region)[\"']?+ *+[:=] *+[\"']?+[A-Za-z0-9.-]{4,253}+",
 }
 _CHEAP_LOOSE = {
