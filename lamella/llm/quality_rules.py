@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 
@@ -28,8 +29,7 @@ _SYMBOLS[list(b"#*$%&|<>")] = 1
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars_all", "n_letters")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
-#: name -> whether a document fails; the position gives the bit. ``m`` maps each measurement to a Spark column or
-#: to a NumPy array: the same definition serves the ledger and the filter.
+#: name -> whether a document fails; the position gives the bit. ``m`` maps each measurement to a Spark column.
 RULES: dict[str, Callable[[dict], Any]] = {
     "too_short": lambda m: m["n_words"] < 50,
     "repeated_windows": lambda m: m["n_repeat_words"] * 100 > m["n_words"] * 50,
@@ -159,11 +159,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def keep(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` whose text passes a policy, with all their columns."""
-    rules = [name for name in RULES if POLICIES[policy] & BIT[name]]
-
-    def verdict(texts: pa.Array) -> np.ndarray:
-        m = measure(texts)
-        return ~np.logical_or.reduce([RULES[name](m) for name in rules])
-
-    return common.kept_rows(docs, verdict)
+    """The rows of ``docs`` whose text passes a policy, with all their columns: ledger rows, with the same bits and masks,
+    that carry the documents along, so that no join by an id, which may be null or repeat, is needed."""
+    own = docs.columns
+    names = [f"_{i}" for i in range(len(own))]
+    flat, at = docs.toDF(*names), own.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = measure(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[m]) for m in MEASURES)], [*names, *MEASURES])
+
+    shape = StructType([*flat.schema.fields, *(StructField(m, LongType()) for m in MEASURES)])
+    rows = flat.mapInArrow(run, shape).withColumn("failed", failure_bits())
+    return rows.where(passes(policy)).select(*names).toDF(*own)
