@@ -3,7 +3,8 @@
 One row of the encoded form is one column of one page. A page's encoding depends on the pages before it in its *run*, as a
 dictionary is kept from page to page until it is dropped, so a run's pages are walked in order, as a stream: a task holds
 one page and the current dictionary, whose size has a budget. Runs of ``run_pages`` pages start afresh, as separate files
-would, and are encoded in parallel; within one run the decisions are those of a single sequential writer.
+would, and are encoded in parallel; within one run the decisions are those of a single sequential writer. Without ``run_pages`` a column is one run: its encodings
+equal such a writer's at any size, and one task walks all its pages.
 
 Rules for a page, in this order: over 80 % distinct values: plain, and the dictionary is dropped. No dictionary, or one
 over its budget of bytes: local. Over 99 % of its distinct values new: local. A code width would grow, or the page's own
@@ -125,9 +126,9 @@ def paged(table: Table, columns: Sequence[str]) -> DataFrame:
     return rows.groupBy("column", "page").agg(ordered.alias("values"))
 
 
-def encode(table: Table, columns: Sequence[str] | None = None, run_pages: int = RUN_PAGES) -> DataFrame:
-    """The encoded pages of the chosen columns."""
-    pages = paged(table, table.names(columns)).select("column", F.expr(f"page div {run_pages}").alias("run"), "page", "values")
+def encode(table: Table, columns: Sequence[str] | None = None, run_pages: int | None = RUN_PAGES) -> DataFrame:
+    """The encoded pages of the chosen columns; without ``run_pages`` a column is one run, as of a single writer."""
+    pages = paged(table, table.names(columns)).select("column", (F.expr(f"page div {run_pages}") if run_pages else F.lit(0).cast("long")).alias("run"), "page", "values")
     return pages.repartition("column", "run").sortWithinPartitions("column", "run", "page").mapInArrow(_walk, SCHEMA)
 
 

@@ -301,13 +301,13 @@ def filter_on_codes_mixed(spark, sf_dir):
 @query()
 def encoded_pages(spark, sf_dir):
     """The page encodings of some columns; tests compare them with a model of a sequential writer."""
-    rows = encoding.encode(orders(spark, sf_dir), ["o_orderpriority", "o_custkey", "o_totalprice"])
+    rows = encoding.encode(orders(spark, sf_dir), ["o_orderpriority", "o_custkey", "o_totalprice"], run_pages=None)
     return rows.select("column", "page", "encoding", "n", "epoch", "base", "width", F.size("segment").alias("added"))
 
 
 @query()
 def encoded_chain(spark, sf_dir):
-    return encoding.chain(encoding.encode(orders(spark, sf_dir), ["o_custkey"]))
+    return encoding.chain(encoding.encode(orders(spark, sf_dir), ["o_custkey"], run_pages=None))
 
 
 # Bloom filters
