@@ -37,7 +37,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from . import common, tokens
 
 CHUNK_CHARS = 8_000_000
-_TOKENS_AT_ONCE, _ROWS_AT_ONCE = 1_000_000, 256
+_TOKENS_AT_ONCE = 1_000_000
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -50,13 +50,6 @@ def _spread(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).reshape(-1).view("<i4")
 
 
-def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, as Python's copies of texts and ids take much more room than Arrow's."""
-    for batch in batches:
-        for k in range(0, len(batch), _ROWS_AT_ONCE):
-            yield batch.slice(k, _ROWS_AT_ONCE)
-
-
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], list[str], np.ndarray, np.ndarray]]:
     """(chunk id, doc_ids, distinct words, words of each document, their places among the distinct words)."""
     place: defaultdict[str, int] = defaultdict()
@@ -72,7 +65,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int
             seal.update(part.tobytes())
         return int.from_bytes(seal.digest(), "little", signed=True), ids, list(place), sizes, at
 
-    for part in _some(batches):
+    for part in common.some(batches):
         for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
             if ids and held + len(text or "") > CHUNK_CHARS:
                 yield closed()
@@ -134,7 +127,7 @@ def _answers(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, known = tokens.load(path), {}
-        for batch in _some(batches):
+        for batch in common.some(batches):
             asked = [_unescaped(w) for w in batch.column(2).to_pylist()]
             new = list(set().union(*asked).difference(known))
             known.update(zip(new, tokens.encode_words(tokenizer, new), strict=True))
@@ -212,7 +205,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, starts, sizes = shared.value
-        for batch in _some(batches):
+        for batch in common.some(batches):
             out = []
             for raw in batch.column(at):
                 ids, parts = np.frombuffer(raw.as_buffer() if raw.is_valid else b"", dtype="<u4"), []

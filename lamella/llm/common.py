@@ -22,7 +22,7 @@ SLICE_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers = np.ones(1, dtype=np.uint64)
@@ -109,10 +109,10 @@ def _grow(n: int) -> None:
     global _powers, _inverse
     if len(_powers) < n:
         n = max(n, 2 * len(_powers))
-        full = np.full(n, _BASE, dtype=np.uint64)
+        full = np.full(n, BASE, dtype=np.uint64)
         full[0] = 1
         _powers = np.cumprod(full, dtype=np.uint64)
-        full[1:] = pow(_BASE, -1, 1 << 64)
+        full[1:] = pow(BASE, -1, 1 << 64)
         _inverse = np.cumprod(full, dtype=np.uint64)
 
 
@@ -124,19 +124,24 @@ class Slice:
 
     def __init__(self, first: int, texts: list[bytes]):
         self.first, self.n = first, len(texts)
-        self.data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+        self.data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
         sizes = np.fromiter(map(len, texts), dtype=np.int64, count=self.n)
         self.ends = np.cumsum(sizes + 1) - 1
         self.starts = self.ends - sizes
         self._prefix = None
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the byte ranges; equal bytes give equal hashes."""
+    def polynomials(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The values of the byte ranges as polynomials in ``BASE``: that of two ranges in a row is that of the first, plus
+        the second's times ``BASE`` to the power of the first's length."""
         if self._prefix is None:
             _grow(len(self.data) + 1)
             self._prefix = np.zeros(len(self.data) + 1, dtype=np.uint64)
             np.cumsum(_TABLE[self.data] * _powers[: len(self.data)], out=self._prefix[1:])
-        return mix((self._prefix[end] - self._prefix[start]) * _inverse[start] + (end - start).astype(np.uint64))
+        return (self._prefix[end] - self._prefix[start]) * _inverse[start]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the byte ranges; equal bytes give equal hashes."""
+        return mix(self.polynomials(start, end) + (end - start).astype(np.uint64))
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of each word, in order."""
@@ -151,6 +156,13 @@ def _raw(texts: pa.Array) -> Iterator[bytes | None]:
         yield from texts.slice(k, 256).cast(pa.large_binary()).to_pylist()
 
 
+def some(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, as Python's copies of texts take much more room than Arrow's."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def slices(texts: Iterable[str | bytes | None] | pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
     """Whole documents in slices of about ``size`` bytes; a null text counts as empty."""
     if isinstance(texts, (pa.Array, pa.ChunkedArray)):
@@ -167,6 +179,21 @@ def slices(texts: Iterable[str | bytes | None] | pa.Array, size: int = SLICE_BYT
         yield Slice(first, held)
 
 
+def cut_after(data: np.ndarray, begin: int, near: int) -> int:
+    """The place behind the last separator between ``begin`` and ``near``; without one, behind the next, or the end."""
+    if near >= len(data):
+        return len(data)
+    gaps = np.flatnonzero(_SEPARATOR[data[begin:near]])
+    if len(gaps):
+        return begin + int(gaps[-1]) + 1
+    while near < len(data):
+        gaps = np.flatnonzero(_SEPARATOR[data[near : near + SLICE_BYTES]])
+        if len(gaps):
+            return near + int(gaps[0]) + 1
+        near += SLICE_BYTES
+    return len(data)
+
+
 def runs(doc: np.ndarray, width: int) -> np.ndarray:
     """Indices of the words at which a window of ``width`` words of one document begins."""
     n = len(doc) - width + 1
@@ -176,5 +203,5 @@ def runs(doc: np.ndarray, width: int) -> np.ndarray:
 def window_hashes(word: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(len(at), dtype=np.uint64)
     for k in range(width):
-        out = mix(out * np.uint64(_BASE) + word[at + k])
+        out = mix(out * np.uint64(BASE) + word[at + k])
     return out

@@ -36,7 +36,7 @@ def _pieces(path: str, longest: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = tokens.WordCache(path)  # a task's own: workers live on, and its room with them
-        for batch in batches:
+        for batch in common.some(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             begin, size = 0, 0
             for k, text in enumerate(texts):

@@ -53,6 +53,10 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     """The measurements of whole texts, by NumPy over their bytes."""
     out = {m: np.zeros(len(texts), dtype=np.int64) for m in MEASURES}
     for part in common.slices(texts):
+        if part.n == 1 and len(part.data) > common.SLICE_BYTES + 1:
+            for m, value in _measure_long(part.data[:-1]).items():
+                out[m][part.first] = value
+            continue
         own = slice(part.first, part.first + part.n)
         data, n = part.data, part.n
         start, end, doc = part.words()
@@ -62,8 +66,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         out["n_chars_all"][own] = points[part.ends] - points[part.starts]
         symbols = np.concatenate(([0], np.cumsum(_SYMBOLS[data])))
         out["n_symbols"][own] = symbols[part.ends] - symbols[part.starts]
-        letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 0xC0)
-        letters = np.concatenate(([0], np.cumsum(letter)))
+        letters = np.concatenate(([0], np.cumsum(_letters(data))))
         out["n_letters"][own] = letters[part.ends] - letters[part.starts]
         if not len(start):
             continue
@@ -80,20 +83,95 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
         order = np.lexsort((lines, of))
         again = (lines[order][1:] == lines[order][:-1]) & (of[order][1:] == of[order][:-1])
         out["n_dup_lines"][own] = np.bincount(of[order][1:][again], minlength=n)
-        # Windows of three words that a document holds twice or more.
-        at = common.runs(doc, 3)
-        if len(at):
-            word = part.hashes(start, end)
-            window = common.window_hashes(word, at, 3)
-            order = np.lexsort((window, doc[at]))
-            same = (window[order][1:] == window[order][:-1]) & (doc[at][order][1:] == doc[at][order][:-1])
-            twice = np.zeros(len(at), dtype=bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            covered = np.zeros(len(start), dtype=bool)
-            for k in range(3):
-                covered[at[twice] + k] = True
-            out["n_repeat_words"][own] = np.bincount(doc[covered], minlength=n)
+        out["n_repeat_words"][own] = np.bincount(doc[_repeated(part.hashes(start, end), doc)], minlength=n)
+    return out
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    return ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 0xC0)
+
+
+def _repeated(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each word is in a window of three words that its document holds twice or more."""
+    covered = np.zeros(len(word), dtype=bool)
+    at = common.runs(doc, 3)
+    if len(at):
+        window = common.window_hashes(word, at, 3)
+        order = np.lexsort((window, doc[at]))
+        same = (window[order][1:] == window[order][:-1]) & (doc[at][order][1:] == doc[at][order][:-1])
+        twice = np.zeros(len(at), dtype=bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        for k in range(3):
+            covered[at[twice] + k] = True
+    return covered
+
+
+def _seconds(ordered: np.ndarray) -> np.ndarray:
+    """Where, after the first, a sorted array holds a value for the second time."""
+    same = ordered[1:] == ordered[:-1]
+    again = np.concatenate(([False], same[:-1])) if len(same) else same
+    return same & ~again
+
+
+def _repeats(word: np.ndarray, step: int = 1 << 18) -> int:
+    """The number of words of one document that are in a window held twice or more, with little room beside the windows."""
+    n = max(len(word) - 2, 0)
+    window = np.zeros(n, dtype=np.uint64)
+    for k in range(0, n, step):
+        window[k : k + step] = common.window_hashes(word[k : k + step + 2], np.arange(min(step, n - k)), 3)
+    ordered = np.sort(window)
+    twice = ordered[1:][_seconds(ordered)]
+    del ordered
+    covered = np.zeros(len(word), dtype=bool)
+    for k in range(0, n if len(twice) else 0, step):
+        own = window[k : k + step]
+        hit = k + np.flatnonzero(twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own)
+        for i in range(3):
+            covered[hit + i] = True
+    return int(covered.sum())
+
+
+def _measure_long(data: np.ndarray) -> dict[str, int]:
+    """The same of one long text, piece by piece; what is held besides is a hash for each word and line.
+
+    Pieces end behind a separator, so that no word is cut; a line's hash is carried on from piece to piece.
+    """
+    out = dict.fromkeys(MEASURES, 0)
+    words, lines = [], []
+    carried, length, filled = 0, 0, False  # of the line that is open: its polynomial, its bytes, whether it holds a word
+    begin = 0
+    while begin < len(data):
+        end = common.cut_after(data, begin, begin + common.SLICE_BYTES)
+        part = common.Slice(0, [data[begin:end].tobytes()])
+        raw, begin = part.data[:-1], end
+        start, stop, _ = part.words()
+        point = (raw & 0xC0) != 0x80
+        before = np.concatenate(([0], np.cumsum(point, dtype=np.int32)))
+        out["n_words"] += len(start)
+        out["word_chars"] += int((before[stop] - before[start]).sum())
+        out["n_chars_all"] += int(before[-1])
+        out["n_symbols"] += int(_SYMBOLS[raw].sum())
+        out["n_letters"] += int(_letters(raw).sum())
+        words.append(part.hashes(start, stop))
+        edge = np.concatenate(([0], np.flatnonzero(raw == 10) + 1))
+        own_end = np.append(edge[1:] - 1, len(raw))
+        poly = part.polynomials(edge, own_end)
+        held = np.zeros(len(edge), dtype=bool)
+        held[np.searchsorted(edge, start, side="right") - 1] = True
+        first = (carried + pow(common.BASE, length, 1 << 64) * int(poly[0])) & ((1 << 64) - 1) if length else int(poly[0])
+        poly[0], size = np.uint64(first), own_end - edge
+        size[0] += length
+        held[0] |= filled
+        lines.append(common.mix(poly[:-1] + size[:-1].astype(np.uint64))[held[:-1]])
+        carried, length, filled = int(poly[-1]), int(size[-1]), bool(held[-1])
+    if filled:
+        lines.append(common.mix(np.array([carried], dtype=np.uint64) + np.uint64(length)))
+    line = np.sort(np.concatenate([*lines, np.zeros(0, dtype=np.uint64)]))
+    out["n_lines"], out["n_dup_lines"] = len(line), int((line[1:] == line[:-1]).sum())
+    held = np.concatenate([*words, np.zeros(0, dtype=np.uint64)])
+    words.clear()
+    out["n_repeat_words"] = _repeats(held)
     return out
 
 

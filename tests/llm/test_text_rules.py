@@ -6,10 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from lamella.llm import language_id, quality_rules, registry, url_filter
+from lamella.llm import common, language_id, quality_rules, registry, url_filter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -45,6 +45,29 @@ def test_measures_of_long_texts():
     assert ours(texts) == [measured(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["a", "b", "é", "😀", " ", "\n", "\t", "\r\n", "\u00a0", "#", "ab cd", "a b\n", "\x0b", "x" * 20]), max_size=60).map("".join))
+def test_measures_piece_by_piece(monkeypatch, text):
+    monkeypatch.setattr(common, "SLICE_BYTES", 16)  # longer texts go by pieces
+    m = {k: v[0] for k, v in quality_rules.measure(pa.array([text])).items()}
+    monkeypatch.undo()
+    assert m == {k: v[0] for k, v in quality_rules.measure(pa.array([text])).items()}
+    assert tuple(m[k] for k in quality_rules.MEASURES[:5]) == measured(text)
+
+
+def test_long_texts_take_bounded_memory(docs):
+    import tracemalloc
+
+    model = language_id.model_of(docs([(k, t) for k, _, t in corpus(10)], {k: g for k, g, _ in corpus(10)}))
+    text = pa.array([LANGS["xx"] * (100_000_000 // len(LANGS["xx"])) + "\n"], pa.large_string())
+    for run, most in ((lambda: language_id.predict(model, text)[0], 5), (lambda: quality_rules.measure(text)["n_words"][0], 9)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * 100_000_000
+
+
 def test_ledger_query(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     rows = registry.queries()["op9_quality_rules"](spark, small).collect()
@@ -135,6 +158,64 @@ def test_prediction_depends_on_the_text_alone(docs):
         assert abs(alone[1][0] - together[1][k]) < 1e-12
 
 
+def brute_model(rows):
+    """Weights and expected margins from counts by language, one bucket, bit and language after the other."""
+    languages = sorted({g for g, _ in rows})
+    seen = np.zeros((len(languages), language_id.BUCKETS))
+    for lang, text in rows:
+        data = text.lower().encode()
+        for k in range(len(data) + 1):
+            b = (b"  " + data + b" ")[k : k + 3]
+            two = (int.from_bytes(b[1:], "big") | 1 << 24) * 2654435761 % (1 << 32) >> 17
+            three = int.from_bytes(b, "big") * 2654435761 % (1 << 32) >> 17
+            for g in (b[2], two, three):
+                seen[languages.index(lang), g] += 1
+    share = (seen + language_id.SMOOTHING) / (seen + language_id.SMOOTHING).sum(1, keepdims=True)
+    code = language_id.codewords(len(languages))
+    weights = np.stack([np.log(share[code[:, k] > 0].mean(0)) - np.log(share[code[:, k] < 0].mean(0)) for k in range(code.shape[1])], axis=1)
+    return languages, code, weights, share @ weights
+
+
+def test_the_model_against_brute_force(docs, monkeypatch):
+    rows = [(g, t) for _, g, t in corpus(3)] + [("zz", "Ünd É 12"), ("zz", ""), ("vv", "qqq"), ("uu", "a long text " * 9)]
+    monkeypatch.setattr(language_id, "VECTORS_HELD", 2)
+    monkeypatch.setattr(language_id, "PIECE", 16)
+    monkeypatch.setattr(common, "SLICE_BYTES", 16)
+    monkeypatch.setattr(language_id, "LOSSES", 100)
+    table = docs([t for _, t in rows], dict(enumerate(g for g, _ in rows)))
+    model = language_id.fit(common.narrow(table, "text", "lang"))
+    languages, code, weights, expected = brute_model(rows)
+    assert model.languages == languages
+    assert (model.code == code).all()
+    assert np.abs(model.weights - weights).max() < 1e-5
+    assert np.abs(model.expected - expected).max() < 1e-6
+    got, score, unsure, loss = language_id.predict(model, pa.array([t for _, t in rows]))
+    for k, (_, text) in enumerate(rows):
+        if not any(c.isalpha() for c in text):
+            assert (got[k], score[k], unsure[k], loss[k]) == ("und", 0, False, 0)
+            continue
+        data, margin = text.lower().encode(), np.zeros(code.shape[1])
+        for i in range(len(data) + 1):
+            b = (b"  " + data + b" ")[i : i + 3]
+            for g in (b[2], (int.from_bytes(b[1:], "big") | 1 << 24) * 2654435761 % (1 << 32) >> 17, int.from_bytes(b, "big") * 2654435761 % (1 << 32) >> 17):
+                margin += weights[g] / (3 * len(data) + 3)
+        losses = [sum(model.trust[b] * np.logaddexp(0, -4 * code[i, b] * margin[b] / max(abs(expected[i, b]), 1e-3)) for b in range(code.shape[1])) for i in range(len(languages))]
+        assert got[k] == languages[int(np.argmin(losses))]
+        assert abs(loss[k] - min(losses)) < 1e-4
+
+
+def test_many_languages(docs):
+    rng = np.random.default_rng(3)
+    syllables = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 3)) for _ in range(1_200)]
+    own = {f"l{k:03}": [syllables[2 * k], syllables[2 * k + 1], syllables[rng.integers(1_200)]] for k in range(600)}
+    rows = [(n, " ".join(rng.choice(w, 40))) for n, w in enumerate(list(own.values()) * 2)]
+    lang = {n: g for n, g in enumerate(list(own) * 2)}
+    model = language_id.fit(common.narrow(docs(rows, lang), "text", "lang"))
+    assert len(model.languages) == 600
+    found = language_id.predict(model, pa.array([t for _, t in rows]))[0]
+    assert np.mean([g == lang[n] for n, g in enumerate(found)]) > 0.9
+
+
 def test_codewords():
     for n in (2, 3, 4, 7, 30, 100):
         code = language_id.codewords(n)
