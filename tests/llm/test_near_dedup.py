@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -16,13 +17,18 @@ WORD = re.compile("[^\x20\x09-\x0d]+")
 
 def shingles(text):
     words = WORD.findall(text or "")
-    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else None
+    return Counter(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else None
+
+
+def alike(x, y):
+    both = (x & y).total()
+    return both >= 0.8 * (x.total() + y.total() - both)
 
 
 def brute(rows):
     """doc_id -> least doc_id of its group, by comparing all pairs."""
     sets = {i: shingles(t) for i, t in rows}
-    head = {i: i for i in sets}
+    head, totals = {i: i for i in sets}, {i: s.total() for i, s in sets.items() if s}
 
     def top(i):
         while head[i] != i:
@@ -30,8 +36,7 @@ def brute(rows):
         return i
 
     for a, b in combinations(sorted(i for i in sets if sets[i]), 2):
-        both = len(sets[a] & sets[b])
-        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+        if 0.8 * max(totals[a], totals[b]) <= min(totals[a], totals[b]) and alike(sets[a], sets[b]):
             x, y = sorted((top(a), top(b)))
             head[y] = x
     return {i: top(i) for i in sets}
@@ -81,6 +86,41 @@ def test_keep_leaves_one_of_each_group(docs, corpus):
     assert sorted(r[0] for r in kept.collect()) == sorted(i for i, g in brute(corpus).items() if i == g)
 
 
+def test_repeated_rows_keep_one(docs):
+    text = "these are more than five words in all"
+    rows = near_dedup.groups(docs([(1, text), (1, text), (1, text), (None, "a"), (None, "a"), (2, None)])).collect()
+    assert sorted((r.d, r.rid == r.head.rid) for r in rows) == sorted([(1, True), (1, False), (1, False), (near_dedup._NO_ID, True), (near_dedup._NO_ID, False), (2, True)])
+
+
+def test_multiplicity_counts(docs):
+    rng = random.Random(5)
+    base, chorus = words(rng, 60), words(rng, 30)
+    rows = [" ".join(base + chorus * n) for n in (1, 2, 2, 12, 13)]  # as sets, all are alike
+    assert {r.d: r.head.d for r in near_dedup.groups(docs(rows)).collect()} == brute(list(enumerate(rows))) == {0: 0, 1: 1, 2: 1, 3: 3, 4: 3}
+
+
+def test_large_buckets_meet_by_rare_shingles(docs, corpus, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_ELEMENTS", 3_000)
+    assert {r.d: r.head.d for r in near_dedup.groups(docs(corpus)).collect()} == brute(corpus)
+
+
+def test_a_bucket_of_many_unlike_members(spark, monkeypatch):
+    """50,000 documents with a common passage, which all share buckets, and a few alike among them."""
+    rng = random.Random(12)
+    passage = words(rng, 45)
+    texts = [" ".join(passage + words(rng, 20)) for _ in range(50_000)]
+    for k in range(0, 1_000, 100):
+        texts[k + 1] = texts[k] + " more"
+    compared = []
+    whole = near_dedup._across
+    monkeypatch.setattr(near_dedup, "_across", lambda met, root, sets: compared.append(met.groupBy("bucket").count().agg({"count": "max"}).first()[0]) or whole(met, root, sets))
+    rows = near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8))
+    heads = {r.d: r.head.d for r in rows.collect()}
+    assert compared[0] > 10_000
+    assert heads == {k: k - 1 if k % 100 == 1 and k < 1_000 else k for k in range(50_000)}
+
+
 def test_small_cases(docs):
     text = "these are more than five words in all"
     assert near_dedup.keep(docs([])).count() == 0
@@ -142,17 +182,18 @@ def test_a_signature_depends_on_its_set_alone():
 @given(st.lists(st.text(alphabet="ab é\n\t", max_size=30), min_size=1, max_size=8))
 def test_shingles(texts):
     for part in common.slices(texts):
-        h, d = near_dedup.shingles(part)
+        h, d, times = near_dedup.shingles(part)
         assert [int((d == k).sum()) for k in range(part.n)] == [len(shingles(t) or ()) for t in texts]
-        ours = [tuple(h[d == k].tolist()) for k in range(part.n)]
+        ours = [tuple(near_dedup.elements(h[d == k], times[d == k]).tolist()) for k in range(part.n)]
+        assert [len(set(o)) for o in ours] == [(shingles(t) or Counter()).total() for t in texts]
         for i, j in combinations(range(part.n), 2):
             assert (ours[i] == ours[j]) == (shingles(texts[i]) == shingles(texts[j]))
 
 
 def test_blocks_count_common_elements():
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 32, 20_000, dtype=np.uint32)
-    sets = [np.unique(np.concatenate((base[: int(f * 20_000)], rng.integers(0, 1 << 32, 500, dtype=np.uint32)))) for f in (1, 0.95, 0.9, 0.8, 0.5)]
+    base = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: int(f * 20_000)], rng.integers(0, 1 << 63, 500, dtype=np.uint64)))) for f in (1, 0.95, 0.9, 0.8, 0.5)]
     wanted = [[len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y)) for y in sets] for x in sets]
     assert near_dedup._similar(sets, sets).tolist() == wanted
 
