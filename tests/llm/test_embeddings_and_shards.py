@@ -102,7 +102,7 @@ def test_embedding_query(spark, small):
 
 def check_shards(rows, texts, shards=40):
     assert len(rows) == len(texts)
-    slots, where = defaultdict(list), defaultdict(set)
+    slots = defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
         assert r.law == "rows"
@@ -111,7 +111,6 @@ def check_shards(rows, texts, shards=40):
     count = [len(slots[k]) for k in range(shards)]
     assert max(count) - min(count) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    return where
 
 
 def test_shards(docs):
@@ -123,14 +122,50 @@ def test_shards(docs):
     assert sizes == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts)
 
 
-def test_groups_stay_together(docs):
-    texts = [(k, f"text {k % 900}") for k in range(3_600)] + [(10_000 + k, "the hot text") for k in range(2_400)]
-    where = defaultdict(set)
-    for r in sharding.shard(docs(texts)).collect():
-        where[r.text_crc32].add(r.shard)
-    hot = zlib.crc32(b"the hot text")
-    assert len(where.pop(hot)) <= 22  # it fills 16 shards
-    assert sum(len(s) > 1 for s in where.values()) <= 90
+def cut(where):
+    """Links between equal texts that lie in different shards, from (text, shard) pairs."""
+    held = defaultdict(Counter)
+    for text, at in where:
+        held[text][at] += 1
+    return sum((c.total() ** 2 - sum(n * n for n in c.values())) // 2 for c in held.values())
+
+
+def test_groups_come_together(spark, docs):
+    texts = [(k, f"text {k % 900}") for k in range(3_600)] + [(10_000 + k, "the hot text") for k in range(2_400)] + [(20_000 + k, f"lone {k}") for k in range(2_000)]
+    table = docs(texts)
+    rows = sharding.shard(table).collect()
+    check_shards(rows, texts)
+    ended = [(r.text_crc32, r.shard) for r in rows]
+    start = [(r.text_crc32, r.start) for r in sharding.labelled(table)[0].collect()]
+    small = lambda pairs: [p for p in pairs if p[0] != zlib.crc32(b"the hot text")]
+    assert cut(small(ended)) < 0.1 * cut(small(start))
+    hot = Counter(s for t, s in ended if t == zlib.crc32(b"the hot text"))
+    assert len(hot) <= 26  # it fills twelve shards, and asks for twice as many
+    assert cut(ended) < cut(start)
+
+
+def test_labels_decide(docs):
+    """Only what a shard has beyond its quota is elsewhere than its label says."""
+    texts = [(k, f"text {k % 700}") for k in range(2_000)] + [(20_000 + k, f"lone {k}") for k in range(1_500)]
+    _, cells, total = sharding.labelled(docs(texts))
+    cells = cells.collect()
+    load = Counter()
+    for c in cells:
+        load[c.shard] += c.n
+    surplus = sum(max(0, n - ((s + 1) * total // 40 - s * total // 40)) for s, n in load.items())
+    label = {(c.g, c.start, c.piece): c.shard for c in cells}
+    rows, _, _ = sharding.labelled(docs(texts))
+    by_doc = {r.doc_id: label[r.g, r.start, r.piece] for r in rows.collect()}
+    moved = [r.doc_id for r in sharding.shard(docs(texts)).collect() if r.shard != by_doc[r.doc_id]]
+    assert len(moved) == surplus
+    assert sum(k < 20_000 for k in moved) <= surplus // 10
+
+
+def test_hot_cells_are_spread(docs):
+    texts = [(None if k % 2 else 7, "the hot text") for k in range(3_000)]
+    rows, cells, _ = sharding.labelled(docs(texts))
+    assert max(r["count"] for r in rows.groupBy("g", "start", "piece").count().collect()) < 30
+    check_shards(sharding.shard(docs(texts)).collect(), texts)
 
 
 @pytest.mark.parametrize("n", [0, 1, 39, 41])
@@ -146,10 +181,21 @@ def test_shard_query(spark, small):
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in rows)
 
 
-def test_propagation_lowers_the_cut(spark):
-    cells = spark.createDataFrame([(g, s, 3) for g in range(200) for s in range(6)], "g long, sub int, n long")
-    ended = sharding.propagate(cells, 3_600, 40)
-    cut = ended.groupBy("g").agg({"shard": "collect_set"}).collect()
-    load = {r.shard: r["sum(n)"] for r in ended.groupBy("shard").sum("n").collect()}
-    assert np.mean([len(r[1]) for r in cut]) < 3.5  # nearly six at first
-    assert max(load.values()) < 3 * 3_600 / 40
+def test_propagation_keeps_to_quotas(spark):
+    cells = spark.createDataFrame([(g, (g + s * 3) % 8, s, 1) for g in range(400) for s in range(6)], "g long, start int, piece int, n long")
+    for total, most in ((2_400, 4.0), (4_000, 1.5)):  # all documents are linked, or some are not
+        ended = sharding.propagate(cells, total, 8)
+        held = ended.groupBy("g").agg({"shard": "collect_set"}).collect()
+        load = {r.shard: r["sum(n)"] for r in ended.groupBy("shard").sum("n").collect()}
+        assert np.mean([len(r[1]) for r in held]) < most  # nearly six at first
+        assert max(load.values()) <= total // 8
+        assert ended.agg({"n": "sum"}).first()[0] == 2_400
+
+
+def test_a_group_moves_to_its_fullest_shard(spark):
+    cells = spark.createDataFrame([(1, 3, 0, 5), (1, 8, 0, 2), (1, 9, 0, 1), (2, 4, 0, 1), (2, 5, 0, 2), (3, 3, 0, 1)], "g long, start int, piece int, n long")
+    ended = {(r.g, r.start): r.shard for r in sharding.propagate(cells, 4_000, 40).collect()}
+    assert ended == {(1, 3): 3, (1, 8): 3, (1, 9): 3, (2, 4): 5, (2, 5): 5, (3, 3): 3}
+    full = {(r.g, r.start): r.shard for r in sharding.propagate(cells, 7 * 40, 40).collect()}  # shard 3 has room for one
+    assert full[1, 3] == 3
+    assert sum(n for (g, s), n in {(1, 3): 5, (1, 8): 2, (1, 9): 1, (3, 3): 1}.items() if full[g, s] == 3) <= 7
