@@ -2,12 +2,14 @@
 
 Encoding goes in four steps. (1) Documents are gathered, where they are read, into chunks of about ``CHUNK_CHARS``
 characters; a chunk holds its distinct words once, dealt into buckets by their hashes, and its documents as positions into
-them. (2) The chunks' words meet by bucket, where each distinct word is encoded exactly once, whichever chunks it is in.
-(3) The ids return to the chunks in the order in which the words left. (4) Each chunk joins them into its documents' ids
-by position. Whole texts are never moved, only compressed positions and words that are distinct within their chunk.
+them. (2) The chunks' words meet by bucket, where each distinct word is encoded once, whichever chunks it is in. Buckets
+pass one after the other, and there are so many that the words of one are few; a word of over ``LONGEST_KEPT`` characters
+is encoded wherever it is asked for. (3) The ids return to the chunks in the order in which the words left. (4) Each chunk
+joins them into its documents' ids by position. Whole texts are never moved, only compressed positions and words that are
+distinct within their chunk.
 
-Steps 1 and 4 read the documents once each and must see the same chunks, so a plan with a shuffle, whose rows may come in
-another order the second time, is stored first; a chunk that would still differ is missed by its id and raises an error.
+Steps 1 and 4 read the documents once each and must see the same chunks, so a plan of anything but scans, filters and
+deterministic columns is stored first; a chunk that would still differ is missed by its id and raises an error.
 
 Decoding looks ids up in the vocabulary's table of pieces (bounded by the vocabulary and so sent to every task), joins the
 pieces' bytes and reads them as UTF-8, with the replacement character for what is none.
@@ -37,6 +39,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from . import common, tokens
 
 CHUNK_CHARS = 8_000_000
+#: Bytes of stored documents for each bucket of words, and the longest words that a bucket keeps.
+BUCKET_BYTES, LONGEST_KEPT = 4_000_000, 4_096
 _TOKENS_AT_ONCE = 1_000_000
 
 
@@ -122,21 +126,24 @@ def _unescaped(raw: bytes) -> list[str]:
 
 
 def _answers(path: str):
-    """(chunk, bucket, sizes, ids) of each request. All requests for a bucket come to one partition, where each distinct
-    word is encoded once; what is held is the partition's distinct words and a batch."""
+    """(chunk, bucket, sizes, ids) of each request, which come sorted by bucket. Each distinct word of a bucket is encoded
+    once; what is held is the distinct words of one bucket and a request."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = tokens.load(path), {}
-        for batch in common.some(batches):
-            asked = [_unescaped(w) for w in batch.column(2).to_pylist()]
-            new = list(set().union(*asked).difference(known))
+        tokenizer, known, at = tokens.load(path), {}, None
+        for batch in common.some(batches, 1):
+            if (bucket := batch.column(0)[0].as_py()) != at:
+                known, at = {}, bucket
+            words = _unescaped(batch.column(2)[0].as_py())
+            new = [w for w in words if w not in known]  # distinct, as they come from one chunk
             known.update(zip(new, tokens.encode_words(tokenizer, new), strict=True))
-            sizes, ids = [], []
-            for words in asked:
-                found = [known[w] for w in words]
-                sizes.append(_squeeze(np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4))
-                ids.append(_squeeze(np.frombuffer(b"".join(found), dtype="<u4")))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "bucket", "sizes", "ids"])
+            found = [known[w] for w in words]
+            for w in new:
+                if len(w) > LONGEST_KEPT:
+                    del known[w]
+            sizes = _squeeze(np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4)
+            ids = _squeeze(np.frombuffer(b"".join(found), dtype="<u4"))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array([sizes], pa.binary()), pa.array([ids], pa.binary())], ["chunk", "bucket", "sizes", "ids"])
 
     return run
 
@@ -171,15 +178,27 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
+def _repeatable(df: DataFrame) -> bool:
+    """Whether a plan gives the same rows in the same order whenever it is run: deterministic columns and filters of scans."""
+    run = df._jdf.queryExecution()
+    todo, plain = [run.sparkPlan()], run.analyzed().deterministic()
+    while todo and plain:
+        node = todo.pop()
+        plain = re.match("Project$|Filter$|Scan (parquet|orc)|LocalTableScan|BatchScan", node.nodeName()) is not None
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return plain
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each document."""
     spark = docs.sparkSession
     slim = common.narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if "Exchange" in slim._jdf.queryExecution().executedPlan().toString():
+    if not _repeatable(slim):
         slim = common.stored(slim, "documents")
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), min(size // BUCKET_BYTES, 1 << 20))
     asked = slim.mapInArrow(_requests(buckets), "bucket int, chunk long, words binary")
-    coded = asked.repartition("bucket").mapInArrow(_answers(path), "chunk long, bucket int, sizes binary, ids binary")
+    coded = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers(path), "chunk long, bucket int, sizes binary, ids binary")
     own = slim.mapInArrow(_placed(buckets), "chunk long, doc_ids array<long>, sizes binary, places binary, order binary")
     return own.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_joined, "doc_id long, n_tokens long, ids binary")
 

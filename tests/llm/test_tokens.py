@@ -128,6 +128,25 @@ def test_codec_over_chunks_and_repeats(docs, spark):
     assert coded(docs([])).count() == 0
 
 
+def test_texts_without_spaces(docs, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["".join(chr(0x4E00 + k) for k in rng.integers(0, 3_000, n)) for n in (3, 50, 3_000, 3_000, 20_000)]
+    texts += [texts[3] + "。" + texts[1], texts[4], "ok " + texts[4] + " ok"]
+    monkeypatch.setattr(codec, "LONGEST_KEPT", 100)
+    check_coded(coded(docs(texts)).collect(), dict(enumerate(texts)))
+
+
+def test_plans_that_may_change_are_stored_first(docs, spark, tmp_path):
+    docs(["a b", "c"]).select("doc_id", F.col("lang").alias("x")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert codec._repeatable(table.where("doc_id >= 0").withColumn("y", F.lit(1)))
+    for other in (table.repartition(2), table.withColumn("r", F.rand()), table.mapInArrow(lambda b: b, table.schema), table.limit(1), table.join(table, "doc_id")):
+        assert not codec._repeatable(other)
+    noisy = docs([f"some words {k}" for k in range(200)]).select("doc_id", F.lit("a b").alias("lang"), F.when(F.rand() < 0.5, "one two").otherwise("three").alias("words"))
+    rows = coded(noisy.select("doc_id", F.col("words").alias("text"))).collect()
+    check_coded(rows, {r.doc_id: r.text for r in rows})
+
+
 def test_invalid_bytes_decode_to_the_replacement(spark):
     path = FILES["byte_bpe_50k.json"]
     table = codec.pieces(path)
