@@ -1,6 +1,7 @@
 """Quality rules, language identification and URL rules against brute-force versions."""
 
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -250,7 +251,8 @@ def judged(url):
             fits.append((len(rule), rule, verdict))
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    word = any(re.search(r.pattern, host + path) for r in url_filter.PATTERN_RULES)
+    low = (host + path).translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    word = any(re.search(r.pattern, low) for r in url_filter.PATTERN_RULES)
     return host, path, None, "block" if word else "allow"
 
 
@@ -258,6 +260,7 @@ URLS = [
     None, "", "no scheme", "http://", "https://Example.NET/en/1", "https://a.example.net/en/1?x=/de/", "https://a.example.net/EN/1", "https://example.net/en", "https://example.net", "http://x.net?y", "http://netx/", "http://net/", "http://mynet/",
     "http://example.com/de/", "http://example.com/de", "http://b.example.com/den/x", "http://notexample.com/de/", "ftp://x.org/fr/#f", "http://x.org/fr", "http://org/fr/a://b", "http://spam-farm.example.com/", "http://spam-farms.example.com/", "http://x.com/CASINO",
     "http://x.com/casino", "http://é.net/ü", "http://x.com/" + "a" * 50_000, "x://y.org/fr/casino", "http://x.com/a-casino-b?net/", "://h.net/p",
+    "http://x.com/Casino", "http://x.com/CGI-BIN/a", "http://x.com/wp-login.php", "http://ads12.x.com/", "http://a.x.com/ads/300x250/b", "http://x.com/ads/1x/", "http://tracker.com/Poker_", "http://x.com/pokers",
 ]
 
 
@@ -272,6 +275,48 @@ def test_urls(spark):
 
 
 def test_rules_are_filed_under_tokens_that_their_urls_hold():
-    for rule in url_filter.RULES:
-        assert rule.literals
     assert url_filter.host_rule("block", "a.example.com/some/pre").literals == ("a", "example", "com")
+    wanted = {
+        "abc": (), "^abc$": ("abc",), "/abc/": ("abc",), "/abc-def": ("abc",), "-abc.def-": (), "-abc[.]def-": ("abc", "def"), "(?:^|[^a-z0-9])a1(?:[^a-z0-9]|$)": ("a1",), "/(?:abc|def)/": (), "/(abc)/x?/d/": ("abc", "d"),
+        "/abc+/": (), "(?:/abc/)+": ("abc",), "/ab(?:c/)*/": (), r"\babc\b": ("abc",), r"\Babc\b": (), "/abc(?=d)/": (), "[^/]*-abc-": ("abc",), "-é-ab-": ("ab",), "^.*/wp/.*$": ("wp",), "/[0-9]+x/": (), r"\wabc\W": (),
+    }
+    assert {p: url_filter.literals(p) for p in wanted} == wanted
+
+
+PIECES = ["ab", "c1", "d", "/", "-", ".", "_", "x", "é", "AB"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "c1", "d", "/", "-", "[.]", "_", ".", "[a-z]", "(?:ab|c1)", "(ab-)+", "(?:/d)?", "^", "$", r"\b", "(?:^|/)", "[^a-z0-9]", "x*", "é"]), max_size=6).map("".join), st.lists(st.sampled_from(PIECES), max_size=10).map("".join))
+def test_literals_are_necessary(pattern, url):
+    low = url.lower()
+    if re.search(pattern, low, re.A):
+        assert set(url_filter.literals(pattern)) <= set(re.split(url_filter.TOKEN_GAP, low))
+
+
+def test_many_rules_against_brute_force(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefg"), 3)) for _ in range(400)]
+    pick = lambda n: [words[k] for k in rng.integers(0, 400, n)]
+    table = []
+    for k in range(10_000):
+        a, b, c = pick(3)
+        kind, pattern = [("word", f"{a}-{b}"), ("glob", f"*/{a}/{b}*{c}"), ("regex", f"[-/]{a}[0-9]?/(?:{b}|{c})(?:/|$)"), ("host", f"{a}.{b}.com/{c}/")][k % 4]
+        table.append((f"r{k}" if kind != "host" else pattern, ["block", "allow"][k % 3 == 0], kind, pattern))
+    table += [("bare", "block", "regex", "[0-9]{4}"), ("dots", "allow", "glob", "*..*")]
+    rules = url_filter.rules_of(table)
+    urls = [f"http://{'.'.join(pick(2))}.com/{'/'.join(pick(3)).title()}{['', '-' + pick(1)[0], '2024', '/' + pick(1)[0], '..'][k % 5]}" for k in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.pattern) for r in url_filter.judge(pages, rules).collect()}
+    compiled = [(r, re.compile(r.pattern)) for r in rules]
+    for k, url in enumerate(urls):
+        text = url.removeprefix("http://")
+        hosts = [r for r, p in compiled if r.base and p.search(text)]
+        if hosts:
+            best = max(hosts, key=lambda r: len(r.name))
+            assert got[k][1] in {r.verdict for r in hosts if len(r.name) == len(best.name)}
+            assert len(got[k][0]) == len(best.name)
+            continue
+        first = next((r for r, p in compiled if not r.base and p.search(text.lower())), None)
+        assert got[k] == (None, first.verdict if first else "allow", first.name if first else None)
+    assert sum(p is not None for _, _, p in got.values()) > 50
