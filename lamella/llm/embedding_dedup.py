@@ -3,9 +3,11 @@
 Vectors of equal label and length are compared by cosine. For unit vectors a cosine of ``COSINE`` or more is a distance of
 at most ``EPSILON``, and distances don't grow under projection on orthonormal axes. So the unit vectors are projected on
 their leading principal axes, laid into grid cells of side ``EPSILON`` and sorted by cell (the epsilon grid order); the
-sequence is cut into blocks, each with the bounds of its projections. Starting from each label's whole sequence, pairs of
-intervals are expanded into pairs of their parts as long as their bounds come within ``EPSILON``; pairs of blocks that
-are left are compared in double precision. The axes come from a bounded sample and decide only how much is skipped.
+sequence is cut into blocks, each with the bounds of its projections, on further axes too, and of the lengths that these
+leave. Starting from each label's whole sequence, pairs of intervals are expanded, sixteen parts to an interval, into pairs
+of their parts as long as their bounds come within ``EPSILON``; pairs of blocks that are left are compared in double
+precision, sixteen blocks with sixteen in a task, which gets each of them once. The axes come from a bounded sample and
+decide only how much is skipped.
 
 Equal vectors are one class. A pair of blocks yields, for each class, how many vectors it links to, and a spanning forest
 of the links, never the links themselves, so that a large group of alike vectors gives rows in proportion to it.
@@ -31,9 +33,10 @@ from .graph import components
 
 COSINE = 0.93
 EPSILON = math.sqrt(2 - 2 * COSINE)
-#: Vectors in a block, principal axes in use, vectors that the axes are fitted on at most, and values among them.
-BLOCK, AXES, SAMPLE_ROWS, SAMPLE_VALUES = 256, 6, 5_000, 2_000_000
-#: How far a block's position is shifted for the intervals above it: 16 blocks, a partition, 16 partitions, and so on.
+#: Vectors in a block, principal axes of the grid and of the bounds, vectors that the axes are fitted on at most, and values
+#: among them.
+BLOCK, AXES, BOUND_AXES, SAMPLE_ROWS, SAMPLE_VALUES = 256, 6, 24, 5_000, 2_000_000
+#: Bits of a block's position within its partition; intervals are of 16 parts, from blocks to partitions and beyond.
 _IN_PARTITION = 20
 _NO_ID = (1 << 63) - 1
 
@@ -60,7 +63,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dim", "vec"])
 
 
-def axes_of(sample: list[bytes], most: int = AXES) -> tuple[int, np.ndarray]:
+def axes_of(sample: list[bytes], most: int = BOUND_AXES) -> tuple[int, np.ndarray]:
     """The most common length among sampled vectors, and orthonormal leading principal axes (columns) for it."""
     if not sample:
         return 0, np.zeros((0, 0))
@@ -72,8 +75,10 @@ def axes_of(sample: list[bytes], most: int = AXES) -> tuple[int, np.ndarray]:
 
 
 def _project(x: np.ndarray, fitted: tuple[int, np.ndarray]) -> np.ndarray:
-    y = x @ fitted[1] if x.shape[1] == fitted[0] else x[:, :AXES]
-    return np.pad(y, ((0, 0), (0, AXES - y.shape[1])))
+    """Unit vectors on the axes, in BOUND_AXES columns, and the length of what these leave of them, in a last one."""
+    y = x @ fitted[1] if x.shape[1] == fitted[0] else x[:, :BOUND_AXES]
+    rest = np.sqrt(np.maximum(0.0, 1.0 - (y * y).sum(1)))
+    return np.hstack((np.pad(y, ((0, 0), (0, BOUND_AXES - y.shape[1]))), rest[:, None]))
 
 
 def _cells(fitted):
@@ -84,7 +89,7 @@ def _cells(fitted):
             raw = batch.column(3).to_pylist()
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
-                cell[own] = np.floor(_project(_units([np.frombuffer(raw[k], "<f8") for k in own]), fitted) / EPSILON)
+                cell[own] = np.floor(_project(_units([np.frombuffer(raw[k], "<f8") for k in own]), fitted)[:, :AXES] / EPSILON)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(cell[:, i]) for i in range(AXES))], [*batch.schema.names, *(f"g{i}" for i in range(AXES))])
 
     return run
@@ -124,32 +129,26 @@ def _blocks(fitted):
 
 
 def _compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Counts (a, null, n) and forest links (a, b, 0) between a block and each of some others."""
-    rows = table.to_pylist()
-    dim, out = rows[0]["dim"], []
-
-    def read(r):
-        n = len(r["rids"]) // 8
-        x = np.frombuffer(r["vecs"], "<f4" if len(r["vecs"]) == 4 * n * dim else "<f8").reshape(n, dim)
-        return np.frombuffer(r["rids"], "<i8"), np.frombuffer(r["copies"], "<i8"), _units(x)
-
-    mine = next(r for r in rows if r["lead"])
-    rid, copies, x = read(mine)
-    links = np.zeros(len(rid), dtype=np.int64)
+    """Counts (a, null, n) and forest links (a, b, 0) between blocks and their partners."""
+    rows, blocks, out = table.to_pylist(), {}, []
     for r in rows:
-        if r["lead"]:
-            continue
-        same = r["at"] == mine["at"]
-        other, other_copies, y = read(r)
-        alike = x @ y.T >= COSINE
-        if same:
-            np.fill_diagonal(alike, False)
-        links += alike @ other_copies
-        if not same:
-            back = copies @ alike
-            out += [(int(other[k]), None, int(back[k])) for k in np.flatnonzero(back)]
-        out += _forest(alike, rid, other)
-    out += [(int(rid[k]), None, int(links[k])) for k in np.flatnonzero(links)]
+        if r["at"] not in blocks:
+            n = len(r["rids"]) // 8
+            x = np.frombuffer(r["vecs"], "<f4" if len(r["vecs"]) == 4 * n * r["dim"] else "<f8").reshape(n, r["dim"])
+            blocks[r["at"]] = np.frombuffer(r["rids"], "<i8"), np.frombuffer(r["copies"], "<i8"), _units(x)
+    links = {at: np.zeros(len(rid), dtype=np.int64) for at, (rid, _, _) in blocks.items()}
+    for r in rows:
+        rid, copies, x = blocks[r["at"]]
+        for at in sorted(r["partners"] or []):
+            other, other_copies, y = blocks[at]
+            alike = x @ y.T >= COSINE
+            if at == r["at"]:
+                np.fill_diagonal(alike, False)
+            else:
+                links[at] += copies @ alike
+            links[r["at"]] += alike @ other_copies
+            out += _forest(alike, rid, other)
+    out += [(int(blocks[at][0][k]), None, int(n[k])) for at, n in links.items() for k in np.flatnonzero(n)]
     return pa.table([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["a", "b", "n"])
 
 
@@ -181,14 +180,14 @@ def _near(x: str, y: str):
 
 
 def _boxes(rows: DataFrame, *keys: str) -> DataFrame:
-    bound = lambda f, c: F.array(*(f(F.col(c)[i]) for i in range(AXES))).alias(c)
+    bound = lambda f, c: F.array(*(f(F.col(c)[i]) for i in range(BOUND_AXES + 1))).alias(c)
     return rows.groupBy(*keys).agg(bound(F.min, "lo"), bound(F.max, "hi"))
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
     """(a, b), a <= b, the positions of blocks that may hold links: interval pairs, expanded level by level."""
     top = blocks.agg(F.max("at")).first()[0] or 0
-    shifts = [4, _IN_PARTITION]
+    shifts = list(range(4, _IN_PARTITION + 1, 4))
     while top >> shifts[-1]:
         shifts.append(shifts[-1] + 4)
     own = ["label", "dim"]
@@ -207,30 +206,33 @@ def links(rows: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of each vector (vec_id, embedding, label)."""
     spark = rows.sparkSession
     slim = common.narrow(rows, "vec_id", "label", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    vectors = stored(slim.mapInArrow(_vectors, "vec_id long, label string, dim int, vec binary"), "vectors")
-    first = F.min(F.coalesce("vec_id", F.lit(_NO_ID))).alias("first")
-    classes = vectors.where("vec is not null").groupBy("label", "dim", "vec").agg(F.count("*").alias("copies"), first)
-    reps = stored(classes.select(F.monotonically_increasing_id().alias("rid"), "label", "dim", "vec", "copies", "first"), "reps")
-
-    about = reps.agg(F.count("*"), F.max("dim")).first()
-    rate = min(SAMPLE_ROWS, SAMPLE_VALUES // (about[1] or 1)) / max(about[0], 1)
-    sample = reps.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("vec").limit(SAMPLE_ROWS)
-    fitted = axes_of([bytes(r.vec) for r in sample.collect()])
-
-    grid = [f"g{i}" for i in range(AXES)]
-    cells = reps.mapInArrow(_cells(fitted), "rid long, label string, dim int, vec binary, copies long, first long, " + ", ".join(f"{g} int" for g in grid))
-    sequence = cells.repartitionByRange("label", "dim", *grid, "rid").sortWithinPartitions("label", "dim", *grid, "rid").select("rid", "label", "dim", "vec", "copies")
-    made = sequence.mapInArrow(_blocks(fitted), "label string, dim int, index long, rids binary, copies binary, vecs binary, lo array<double>, hi array<double>")
-    blocks = stored(made.withColumn("at", F.shiftleft(F.spark_partition_id().cast("long"), _IN_PARTITION) + F.col("index")), "blocks")
-
-    pairs = stored(block_pairs(blocks), "pairs")
-    task = F.shiftright("b", 4).alias("task")
-    asked = pairs.select("a", task, F.col("b").alias("at"), F.lit(False).alias("lead")).union(pairs.select("a", task, F.col("a").alias("at"), F.lit(True).alias("lead")).distinct())
-    found = stored(asked.join(blocks.select("at", "dim", "rids", "copies", "vecs"), "at").groupBy("a", "task").applyInArrow(_compare, "a long, b long, n long"), "found")
-
-    counts = found.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n"))
-    root = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rid")
-    placed = stored(reps.join(counts, "rid", "left").join(root, "rid", "left").select("label", "vec", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rid").alias("root")), "placed")
+    with common.scope() as keep:
+        vectors = keep(stored(slim.mapInArrow(_vectors, "vec_id long, label string, dim int, vec binary"), "vectors"))
+        first = F.min(F.coalesce("vec_id", F.lit(_NO_ID))).alias("first")
+        classes = vectors.where("vec is not null").groupBy("label", "dim", "vec").agg(F.count("*").alias("copies"), first)
+        reps = stored(classes.select(F.monotonically_increasing_id().alias("rid"), "label", "dim", "vec", "copies", "first"), "reps")
+
+        about = reps.agg(F.count("*"), F.max("dim")).first()
+        rate = min(SAMPLE_ROWS, SAMPLE_VALUES // (about[1] or 1)) / max(about[0], 1)
+        sample = reps.where(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).select("vec").limit(SAMPLE_ROWS)
+        fitted = axes_of([bytes(r.vec) for r in sample.collect()])
+
+        grid = [f"g{i}" for i in range(AXES)]
+        cells = reps.mapInArrow(_cells(fitted), "rid long, label string, dim int, vec binary, copies long, first long, " + ", ".join(f"{g} int" for g in grid))
+        sequence = cells.repartitionByRange("label", "dim", *grid, "rid").sortWithinPartitions("label", "dim", *grid, "rid").select("rid", "label", "dim", "vec", "copies")
+        made = sequence.mapInArrow(_blocks(fitted), "label string, dim int, index long, rids binary, copies binary, vecs binary, lo array<double>, hi array<double>")
+        blocks = stored(made.withColumn("at", F.shiftleft(F.spark_partition_id().cast("long"), _IN_PARTITION) + F.col("index")), "blocks")
+
+        pairs = stored(block_pairs(blocks), "pairs")
+        upper = lambda c: F.shiftright(c, 4).alias(f"{c}_task")
+        leads = pairs.groupBy("a", upper("b")).agg(F.collect_list("b").alias("partners")).select(upper("a"), "b_task", F.col("a").alias("at"), "partners")
+        rest = pairs.select(upper("a"), upper("b"), F.col("b").alias("at")).distinct().withColumn("partners", F.lit(None).cast("array<long>"))
+        asked = leads.union(rest).join(blocks.select("at", "dim", "rids", "copies", "vecs"), "at")
+        found = stored(asked.groupBy("a_task", "b_task").applyInArrow(_compare, "a long, b long, n long"), "found")
+
+        counts = found.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("n"))
+        root = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rid")
+        placed = keep(stored(reps.join(counts, "rid", "left").join(root, "rid", "left").select("label", "vec", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rid").alias("root")), "placed"))
     heads = placed.groupBy("root").agg(F.min("first").alias("head"))
     result = placed.join(heads, "root").select(F.col("vec").alias("key"), F.col("label").alias("key_label"), "n_links", "head")
     # Rows that link with nothing take a key of their own, so that they don't meet in one task.
