@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
+    """The folder that all executors share, which the session names; a local one of our own only in a local session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lamella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -81,18 +84,47 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/lamella-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._lamella_path = path
+    return back
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables stored within it at its end, but for those that the yielded function is given."""
+    mark, kept = len(_scratch), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._lamella_path)
+        return df
+
+    yield keep
+    own = _scratch[mark:]
+    _scratch[mark:] = [x for x in own if x[1] in kept]
+    _delete([x for x in own if x[1] not in kept])
+
+
+def free(df: DataFrame) -> None:
+    """Delete a stored table."""
+    path = getattr(df, "_lamella_path", None)
+    own = [x for x in _scratch if x[1] == path]
+    _scratch[:] = [x for x in _scratch if x[1] != path]
+    _delete(own)
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release() -> None:
     """Delete the scratch tables of this process; results that still depend on them can't be read afterwards."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended, at exit
-            return
+    own, _scratch[:] = list(_scratch), []
+    try:
+        _delete(own)
+    except Exception:  # noqa: BLE001  the session may have ended, at exit
+        return
 
 
 atexit.register(release)

@@ -238,7 +238,8 @@ def fold() -> Column:
 def model_of(docs: DataFrame) -> Model:
     """Learned from the labelled documents outside the held-out fold."""
     slim = common.narrow(docs, "doc_id", "text", "lang")
-    return fit(slim.where(fold() != 2).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    with common.scope():
+        return fit(slim.where(fold() != 2).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

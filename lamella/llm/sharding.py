@@ -113,11 +113,13 @@ def labelled(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, DataFram
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard and slot of each document."""
-    rows, cells, total = labelled(docs, shards)
-    # Linked documents come first in a shard, a group's together.
-    part = F.when(F.col("linked"), 0).otherwise(PARTS) + _dealt(PARTS, 4, "g")
-    placed = stored(_before(cells, "shard", part, ["g", "start", "piece"]).select("g", "start", "piece", F.col("shard").alias("label"), "before"), "placed")
-    held = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}  # a number for each shard
+    with common.scope() as keep:
+        rows, cells, total = labelled(docs, shards)
+        # Linked documents come first in a shard, a group's together.
+        part = F.when(F.col("linked"), 0).otherwise(PARTS) + _dealt(PARTS, 4, "g")
+        placed = keep(stored(_before(cells, "shard", part, ["g", "start", "piece"]).select("g", "start", "piece", F.col("shard").alias("label"), "before"), "placed"))
+        held = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}  # a number for each shard
+        keep(rows)
     quota = [(s + 1) * total // shards - s * total // shards for s in range(shards)]
     load = [held.get(s, 0) for s in range(shards)]
     over, free = ([max(0, a - b) for a, b in zip(*pair, strict=True)] for pair in ((load, quota), (quota, load)))
