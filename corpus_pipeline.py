@@ -55,5 +55,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), name)
+        with common.scope() as keep:
+            after = keep(common.stored(stage(spark, docs, sf_dir), name))
+        common.free(docs)
+        docs = after
     return docs
