@@ -80,20 +80,32 @@ def signatures(h: np.ndarray, doc: np.ndarray, n: int, k: int = COORDINATES, wei
     total = np.bincount(doc, weights=w, minlength=n)
     upto = np.ceil((k * math.log(k) + 2 * k) / np.maximum(total, 1e-9)).astype(np.int64)
     begin, todo = np.zeros(n, dtype=np.int64), total > 0
+    layers = np.ceil(w).astype(np.int64)
+    fractions = bool((layers != w).any())
     while todo.any():
         live = np.flatnonzero(todo[doc])
-        for some in np.array_split(live, max(1, int((upto - begin)[doc[live]].sum() // 400_000))):
-            _throw(out, h, doc, w, some, begin, upto, k, weight is not None)
+        ranks = (upto - begin)[doc[live]]
+        for element, layer in _portions(layers[live], ranks):
+            _throw(out, h, doc, w, live[element], layer, begin, upto, k, fractions)
         todo &= (out.reshape(n, k) == _EMPTY).any(1)
         begin, upto = upto, upto * 2
     return out.reshape(n, k)
 
 
-def _throw(out, h, doc, w, some, begin, upto, k, weighted) -> None:
-    """Darts of the elements ``some`` with ranks from begin to upto."""
-    layers = np.ceil(w[some]).astype(np.int64)
-    element = np.repeat(some, layers)
-    layer = np.arange(len(element)) - np.repeat(np.cumsum(layers) - layers, layers)
+def _portions(layers: np.ndarray, ranks: np.ndarray, cells: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The layers of all elements, (element, layer), in portions of about as many cells; a heavy element is cut too."""
+    upto, held = np.cumsum(layers * ranks), np.cumsum(layers)
+    at = np.arange(0, int(upto[-1]), cells)
+    e = np.searchsorted(upto, at, side="right")
+    edge = np.append(held[e] - layers[e] + (at - (upto[e] - layers[e] * ranks[e])) // ranks[e], held[-1])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        nth = np.arange(a, b)
+        element = np.searchsorted(held, nth, side="right")
+        yield element, nth - (held[element] - layers[element])
+
+
+def _throw(out, h, doc, w, element, layer, begin, upto, k, fractions) -> None:
+    """Darts of layers of elements, with ranks from begin to upto; only a layer that a weight cuts can let a dart miss."""
     ranks = (upto - begin)[doc[element]]
     cell = np.repeat(np.arange(len(element)), ranks)
     c = (np.arange(len(cell)) - np.repeat(np.cumsum(ranks) - ranks, ranks) + begin[doc[element]][cell]).astype(_U)
@@ -103,7 +115,7 @@ def _throw(out, h, doc, w, some, begin, upto, k, weighted) -> None:
     q = (np.arange(len(dart)) - np.repeat(np.cumsum(n) - n, n) + 1).astype(_U)
     place = mix(hashed[dart] + q * _U(0xE7037ED1A0B428DB))
     of = cell[dart]
-    if weighted:
+    if fractions:
         under = layer[of] + (mix(place) >> _U(11)).astype(np.float64) / (1 << 53) < w[element[of]]
         dart, place, of = dart[under], place[under], of[under]
     rank = c[dart] << _U(24) | place >> _U(40)
@@ -120,11 +132,6 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _weights(times: np.ndarray) -> np.ndarray | None:
-    """None, which means 1 each, spares the darts a comparison with weights that they are under anyway."""
-    return times.astype(float) if (times > 1).any() else None
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, t) and the class, a hash of the weighted set, with its bands; null where there are no words."""
     for batch in batches:
@@ -142,7 +149,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             leads[lead] = True
             inner = np.cumsum(leads) - 1
             kept = leads[d]
-            band[own] = bands(signatures(h[kept], inner[d[kept]], len(lead), weight=_weights(times[kept])))[inner[lead]][back]
+            band[own] = bands(signatures(h[kept], inner[d[kept]], len(lead), weight=times[kept].astype(float)))[inner[lead]][back]
         none = size == 0
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(batch) * BANDS + 1, BANDS), pa.int32()), pa.array(band.view(np.int64).ravel()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls.view(np.int64), mask=none), lists], ["doc_id", "t", "cls", "bands"])

@@ -169,6 +169,19 @@ def test_weighted_coordinates():
     assert abs(np.mean(found) - np.mean(true)) < 0.03
 
 
+def test_whole_weights_are_repeated_elements_and_cut_in_portions():
+    rng = np.random.default_rng(3)
+    layers, ranks = rng.integers(1, 9, 50), rng.integers(1, 30, 50)
+    layers[7] = 5_000
+    parts = list(near_dedup._portions(layers, ranks, 200))
+    assert max(int(ranks[e].sum()) for e, _ in parts) < 200 + 60
+    pairs = [(int(e), int(j)) for part in parts for e, j in zip(*part, strict=True)]
+    assert pairs == [(e, j) for e in range(50) for j in range(layers[e])]
+    h, w = rng.integers(0, 1 << 63, 50, dtype=np.uint64), layers.astype(float)
+    zero = np.zeros(50, dtype=np.int64)
+    assert (near_dedup.signatures(h, zero, 1, weight=w) == near_dedup.signatures(np.append(h, h[:1]), np.append(zero, 0), 1, weight=np.append(w, 1e-12))).mean() > 0.99
+
+
 def test_a_signature_depends_on_its_set_alone():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
