@@ -194,7 +194,8 @@ def _open(placed: DataFrame) -> DataFrame:
     the component of most of them, in_main, how many those are, and most, the elements of the largest."""
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     about = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("in_main"), F.max("size").alias("most"))
-    return stored(placed.join(about.where("in_main < n"), "bucket"), "open")
+    # Stored, so that the join has nothing but shuffles under it and a large bucket can be split.
+    return stored(placed.join(stored(about.where("in_main < n"), "about"), "bucket"), "open")
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
