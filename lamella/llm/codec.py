@@ -38,7 +38,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common, tokens
 
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 #: Bytes of stored documents for each bucket of words, and the longest words that a bucket keeps.
 BUCKET_BYTES, LONGEST_KEPT = 4_000_000, 4_096
 _TOKENS_AT_ONCE = 1_000_000
