@@ -26,6 +26,55 @@ def varint_length(n: Column) -> Column:
     return out.otherwise(F.when(n.cast("decimal(20,0)") < F.lit(str(1 << 63)).cast("decimal(20,0)"), 9).otherwise(10))
 
 
+def varint_encode(n: Column) -> Column:
+    """An unsigned integer under 2 ** 63 in base 128, the lowest digit first; all bytes but the last have their highest bit set."""
+    length = varint_length(n)
+    one = lambda k: F.shiftright(n.cast("long"), 7 * k).bitwiseAND(F.lit(127).cast("long")) + F.when(F.lit(k) < length - 1, 128).otherwise(0)
+    return F.unhex(F.concat(*(F.when(F.lit(k) < length, F.lpad(F.hex(one(k)), 2, "0")).otherwise("") for k in range(9))))
+
+
+def _byte(raw: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(raw, at + 1, F.lit(1))), 16, 10).cast("long")
+
+
+def varint_decode(raw: Column, at: Column | int = 0) -> Column:
+    """struct(value, next): the integer whose bytes begin at ``at``, and where the next value begins."""
+    start = F.lit(at) if isinstance(at, int) else at
+    first = F.struct(F.lit(0).cast("long").alias("value"), start.cast("int").alias("next"), F.lit(True).alias("open"))
+
+    def step(s: Column, k: Column) -> Column:
+        b = _byte(raw, start + k)
+        more = F.struct((s["value"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127).cast("long")), k * 7)).alias("value"), (s["next"] + 1).alias("next"), (b >= 128).alias("open"))
+        return F.when(s["open"], more).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(8)), first, step, lambda s: F.struct(s["value"].alias("value"), s["next"].alias("next")))
+
+
+def text_encode(text: Column) -> Column:
+    """A text in serialized form: the length of its bytes, and them."""
+    raw = F.encode(text, "UTF-8")
+    return F.concat(varint_encode(F.octet_length(text).cast("long")), raw)
+
+
+def list_encode(values: Column) -> Column:
+    """An array of texts in serialized form: its size, and each text."""
+    hexed = F.array_join(F.transform(values, lambda v: F.hex(text_encode(v))), "")
+    return F.concat(varint_encode(F.size(values).cast("long")), F.unhex(hexed))
+
+
+def list_decode(raw: Column) -> Column:
+    """The array of texts again; meant for short lists, as an array grows by being copied."""
+    count = varint_decode(raw)
+    start = F.struct(count["next"].alias("at"), F.array().cast("array<string>").alias("l"))
+
+    def step(s: Column, _: Column) -> Column:
+        size = varint_decode(raw, s["at"])
+        end = (size["next"] + size["value"].cast("int")).alias("at")
+        return F.struct(end, F.concat(s["l"], F.array(F.decode(F.substring(raw, size["next"] + 1, size["value"].cast("int")), "UTF-8"))).alias("l"))
+
+    return F.when(count["value"] == 0, F.array().cast("array<string>")).otherwise(F.aggregate(F.sequence(F.lit(1), count["value"].cast("int")), start, step, lambda s: s["l"]))
+
+
 def text_bytes(text: Column) -> Column:
     """Serialized size of a text: the length of its length, and its bytes."""
     size = F.octet_length(text).cast("long")

@@ -147,13 +147,28 @@ def decode(encoded: DataFrame, page_size: int) -> DataFrame:
 
 
 def filter_codes(encoded: DataFrame, column: str, value: str, page_size: int) -> DataFrame:
-    """(rid) of the rows whose column equals a text, found on codes: the text becomes one code for each epoch, pages
-    whose bounds exclude it are skipped, and only plain pages compare texts."""
+    """(rid) of the rows whose column equals a text, found on codes: the text becomes one code for each epoch, pages whose
+    bounds exclude it are skipped, a page that holds nothing else matches as a whole, and only plain pages compare texts."""
     own = encoded.where((F.col("column") == column) & (F.col("min_v") <= value) & (F.col("max_v") >= value))
+    constant, mixed = own.where("min_v = max_v"), own.where("min_v != max_v")
+    whole = constant.select("page", F.explode(F.expr("sequence(0, n - 1)")).alias("slot"))
     wanted = dictionary(encoded.where(F.col("column") == column)).where(F.col("v") == value).select("run", "epoch", F.col("code").alias("wanted"))
-    coded = own.where("encoding != 'plain'").join(wanted, ["run", "epoch"]).select("page", "wanted", F.posexplode("codes").alias("slot", "code")).where("code = wanted")
-    plain = own.where("encoding = 'plain'").select("page", F.posexplode("vals").alias("slot", "v")).where(F.col("v") == value)
-    return coded.select("page", "slot").union(plain.select("page", "slot")).select((F.col("page") * page_size + F.col("slot")).alias("rid"))
+    coded = mixed.where("encoding != 'plain'").join(wanted, ["run", "epoch"]).select("page", "wanted", F.posexplode("codes").alias("slot", "code")).where("code = wanted")
+    plain = mixed.where("encoding = 'plain'").select("page", F.posexplode("vals").alias("slot", "v")).where(F.col("v") == value)
+    return coded.select("page", "slot").union(plain.select("page", "slot")).union(whole).select((F.col("page") * page_size + F.col("slot")).alias("rid"))
+
+
+def lookup_codes(encoded: DataFrame, asked: DataFrame, page_size: int) -> DataFrame:
+    """(req_pos, column, v) of the rows (req_pos, rid) asked for, gathered from their slots: a page is joined only if one of
+    its rows is asked for, and only codes that are asked for are looked up in the dictionary."""
+    placed = asked.where("rid >= 0").select("req_pos", F.expr(f"rid div {page_size}").alias("page"), F.expr(f"cast(rid % {page_size} as int)").alias("slot"))
+    pages = encoded.join(placed.select("page").distinct(), "page", "left_semi").select("column", "run", "epoch", "page", "n", "encoding", "codes", "vals")
+    # A page's rows are asked for together, so that the page travels once.
+    slots = placed.groupBy("page").agg(F.collect_list(F.struct("req_pos", "slot")).alias("slots"))
+    found = pages.join(slots, "page").select("column", "run", "epoch", F.explode(F.filter(F.transform("slots", lambda s: F.struct(s["req_pos"].alias("req_pos"), (s["slot"] < F.col("n")).alias("held"), F.get("codes", s["slot"]).alias("code"), F.get("vals", s["slot"]).alias("v"))), lambda s: s["held"])).alias("s"))
+    flat = found.select("column", "run", "epoch", "s.req_pos", "s.code", "s.v")
+    coded = flat.where("code is not null").drop("v").join(dictionary(encoded), ["column", "run", "epoch", "code"])
+    return coded.select("req_pos", "column", "v").union(flat.where("code is null").select("req_pos", "column", "v"))
 
 
 def chain(encoded: DataFrame) -> DataFrame:

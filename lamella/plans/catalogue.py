@@ -8,14 +8,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import codec
 from ..operators import bloom, encoding, pages, relational
-from ..operators.table import Table, equi_filter, equi_page_counts, formatted, lookup, lookup_batches, page_counts, scan
-from ..sources.text import field, window
+from ..operators.table import Table, equi_filter, equi_page_counts, formatted, lookup, lookup_batches, page_counts, requests, scan
+from ..session import scratch
+from ..sources import typed
+from ..sources.text import field, ingest, parse_columns, window
 
 P = 1024
 #: Requests for look-ups: unsorted, with repeats, changing pages, with first and last rows of pages and one that is none.
@@ -198,6 +201,32 @@ def page_count(spark, sf_dir):
     return page_counts(table).agg(F.count("*").alias("pages"))
 
 
+@query("SELECT event_id // 1024 AS page, count(*) AS n FROM events GROUP BY 1")
+def page_rows(spark, sf_dir):
+    return page_counts(events(spark, sf_dir))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY q.req_pos) - 1 AS BIGINT) AS place, CAST(q.req_pos AS BIGINT) AS req_pos, o_orderkey FROM (VALUES {_VALUES}) q(req_pos, rid) JOIN orders ON o_orderkey = q.rid")
+def lookup_ordered(spark, sf_dir):
+    """The rows asked for come in the order asked: a short list's answer is one partition, whose rows are numbered as they come."""
+    table = orders(spark, sf_dir)
+    found = lookup(Table(table.df.withColumn("rid", F.col("o_orderkey")), "rid", P), WANTED, ["o_orderkey"])
+    return found.select(F.monotonically_increasing_id().alias("place"), "req_pos", "o_orderkey")
+
+
+_CSV = "concat_ws(',', CAST(o_orderkey AS VARCHAR), o_orderstatus, '', o_orderpriority, CAST(o_custkey AS VARCHAR))"
+
+
+@query(f"SELECT o_orderkey - 7 AS rid, split_part({_CSV}, ',', 4) AS c0, split_part({_CSV}, ',', 1) AS c1, split_part({_CSV}, ',', 5) AS c2, split_part({_CSV}, ',', 3) AS c3, split_part({_CSV}, ',', 4) AS c4 FROM orders WHERE o_orderkey >= 7")
+def ingest_text(spark, sf_dir):
+    """All orders as delimited text files, from which a paged dataset is ingested, less its first 7 rows, and scanned."""
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", F.lit(""), "o_orderpriority", F.col("o_custkey").cast("string")).alias("value"))
+    text, out = scratch(spark, "text"), scratch(spark, "table")
+    typed.write_lines(rows.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").select("value"), text)
+    ingest(spark, text, out, 7, None, parse_columns("3,0,4,2,3"))
+    return scan(Table.open(spark, out), ["rid", "c0", "c1", "c2", "c3", "c4"])
+
+
 # Page statistics and encoding decisions
 
 
@@ -298,16 +327,60 @@ def filter_on_codes_mixed(spark, sf_dir):
     return encoding.filter_codes(encoding.encode(orders(spark, sf_dir), ["o_custkey"]), "o_custkey", "77", P)
 
 
-@query()
+_WIDTH = "CASE WHEN {0} < 256 THEN 1 WHEN {0} < 65536 THEN 2 ELSE 4 END"
+_VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 ELSE 4 END"
+
+
+def _encoded(columns: dict[str, str]) -> str:
+    """SQL: a sequential writer's pages of some columns of orders, by a recursive walk over the statistics of pages.
+
+    ``o`` has each page's distinct values with the page before that holds the value; ``w``, for each page and each page at
+    which its dictionary may have begun, how many values are new and their serialized bytes.
+    """
+    varint = _VARINT.format
+    values = " UNION ALL ".join(f"SELECT '{name}' AS c, o_orderkey // {P} AS page, {value} AS v FROM orders" for name, value in columns.items())
+    cost = f"""pages * ({_WIDTH.format("held + k")}) * {encoding.EXPECTED_ROWS} + dump + n * ({_WIDTH.format("held + k")})
+      - pages * (({_WIDTH.format("d")}) * {encoding.EXPECTED_ROWS} + usual) - (ser + n * ({_WIDTH.format("d")}))"""
+    return f"""WITH RECURSIVE a AS ({values}),
+p AS (SELECT c, page, count(*) AS n, count(DISTINCT v) AS d FROM a GROUP BY 1, 2),
+o AS (SELECT c, page, strlen(v) + {varint("strlen(v)")} AS b, coalesce(lag(page) OVER (PARTITION BY c, v ORDER BY page), -1) AS prev FROM (SELECT DISTINCT c, page, v FROM a)),
+s AS (SELECT p.c, p.page, n, d, {varint("d")} + sum(b) AS ser FROM p JOIN o ON o.c = p.c AND o.page = p.page GROUP BY p.c, p.page, n, d),
+l AS (SELECT x.c, x.page, y.page AS start FROM p x JOIN p y ON x.c = y.c AND y.page < x.page),
+w AS (SELECT l.c, l.page, l.start, count(b) AS k, {varint("count(b)")} + coalesce(sum(b), 0) AS dump FROM l LEFT JOIN o ON o.c = l.c AND o.page = l.page AND prev < l.start GROUP BY 1, 2, 3),
+r(c, page, encoding, n, epoch, base, width, added, start, held, mem, sum_added, n_added) AS (
+  SELECT c, CAST(-1 AS BIGINT), 'none', CAST(0 AS BIGINT), -1, CAST(0 AS BIGINT), 0, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM (SELECT DISTINCT c FROM p)
+  UNION ALL
+  SELECT c, page, kind, n, CASE kind WHEN 'local' THEN epoch + 1 ELSE epoch END, CASE kind WHEN 'differential' THEN held ELSE 0 END,
+    CASE kind WHEN 'plain' THEN 0 WHEN 'local' THEN {_WIDTH.format("d")} ELSE {_WIDTH.format("held + k")} END, CASE kind WHEN 'plain' THEN 0 WHEN 'local' THEN d ELSE k END,
+    CASE kind WHEN 'plain' THEN NULL WHEN 'local' THEN page ELSE start END, CASE kind WHEN 'plain' THEN 0 WHEN 'local' THEN d ELSE held + k END,
+    CASE kind WHEN 'plain' THEN mem WHEN 'local' THEN ser ELSE mem + dump END, CASE kind WHEN 'differential' THEN sum_added + dump ELSE 0 END, CASE kind WHEN 'differential' THEN n_added + 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN d > 0.8 * n THEN 'plain' WHEN start IS NULL OR mem > {encoding.BUDGET} OR k > 0.99 * d THEN 'local'
+      WHEN ((held >= 256 AND d < 256) OR (held >= 65536 AND d < 65536) OR (held < 256 AND held + k >= 256) OR (held < 65536 AND held + k >= 65536)) AND {cost} > 0 THEN 'local' ELSE 'differential' END AS kind
+    FROM (SELECT r.c, s.page, s.n, r.epoch, r.start, r.held, r.mem, r.sum_added, r.n_added, s.d, CAST(s.ser AS BIGINT) AS ser, coalesce(w.k, s.d) AS k, CAST(coalesce(w.dump, s.ser) AS BIGINT) AS dump,
+        CASE WHEN r.n_added > 0 THEN r.sum_added // r.n_added ELSE CAST(coalesce(w.dump, s.ser) AS BIGINT) END AS usual, ({encoding.BUDGET} - r.mem) // CAST(coalesce(w.dump, s.ser) AS BIGINT) AS pages
+      FROM r JOIN s ON s.c = r.c AND s.page = r.page + 1 LEFT JOIN w ON w.c = s.c AND w.page = s.page AND w.start = r.start)))"""
+
+
+@query(f"""{_encoded({"o_orderpriority": "o_orderpriority", "o_custkey": "CAST(o_custkey AS VARCHAR)", "o_totalprice": "CAST(o_totalprice AS VARCHAR)"})}
+SELECT c AS name, page, encoding, CAST(n AS INTEGER) AS n, CASE WHEN encoding <> 'plain' THEN epoch END AS epoch, CAST(base AS INTEGER) AS base,
+CASE WHEN encoding <> 'plain' THEN CAST(width AS INTEGER) END AS width, CAST(added AS INTEGER) AS added FROM r WHERE page >= 0""")
 def encoded_pages(spark, sf_dir):
-    """The page encodings of some columns; tests compare them with a model of a sequential writer."""
+    """The page encodings of some columns."""
     rows = encoding.encode(orders(spark, sf_dir), ["o_orderpriority", "o_custkey", "o_totalprice"], run_pages=None)
-    return rows.select("column", "page", "encoding", "n", "epoch", "base", "width", F.size("segment").alias("added"))
+    return rows.select(F.col("column").alias("name"), "page", "encoding", "n", "epoch", "base", "width", F.size("segment").alias("added"))
 
 
-@query()
+@query(f"""{_encoded({"o_custkey": "CAST(o_custkey AS VARCHAR)"})}
+SELECT c AS name, CAST(0 AS BIGINT) AS run, epoch, page, CAST(added AS INTEGER) AS len, CAST(base AS INTEGER) AS base FROM r WHERE page >= 0 AND encoding <> 'plain'""")
 def encoded_chain(spark, sf_dir):
-    return encoding.chain(encoding.encode(orders(spark, sf_dir), ["o_custkey"], run_pages=None))
+    return encoding.chain(encoding.encode(orders(spark, sf_dir), ["o_custkey"], run_pages=None)).withColumnRenamed("column", "name")
+
+
+@query(f"""SELECT CAST(q.req_pos AS BIGINT) AS req_pos, c AS name, v FROM (VALUES {_VALUES}) q(req_pos, rid)
+JOIN (SELECT o_orderkey, 'o_orderpriority' AS c, o_orderpriority AS v FROM orders UNION ALL SELECT o_orderkey, 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders) ON o_orderkey = q.rid""")
+def lookup_on_codes(spark, sf_dir):
+    coded = encoding.encode(orders(spark, sf_dir), ["o_orderpriority", "o_custkey"])
+    return encoding.lookup_codes(coded, requests(spark, WANTED), P).withColumnRenamed("column", "name")
 
 
 # Bloom filters
@@ -333,37 +406,11 @@ def _filter(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
     return bloom.build(_names(spark, sf_dir, where), "c_name", BLOOM)
 
 
-_A, _B = "c_custkey < 100", "c_custkey >= 50 AND c_custkey < 150"
-
-
 @query(_bits("true"))
 def bloom_bits_md5(spark, sf_dir):
     return bloom.set_bits(_filter(spark, sf_dir, "true"))
 
 
-@query(f"SELECT bit FROM ({_bits(_A)}) UNION SELECT bit FROM ({_bits(_B)})")
-def bloom_union(spark, sf_dir):
-    return bloom.set_bits(bloom.union(_filter(spark, sf_dir, _A), _filter(spark, sf_dir, _B), BLOOM, BLOOM))
-
-
-@query(f"SELECT bit FROM ({_bits(_A)}) INTERSECT SELECT bit FROM ({_bits(_B)})")
-def bloom_intersect(spark, sf_dir):
-    return bloom.set_bits(bloom.intersection(_filter(spark, sf_dir, _A), _filter(spark, sf_dir, _B), BLOOM, BLOOM))
-
-
-@query(f"SELECT bit FROM (SELECT * FROM ({_bits(_A)}) UNION ALL SELECT * FROM ({_bits(_B)})) GROUP BY 1 HAVING count(*) = 1")
-def bloom_xor(spark, sf_dir):
-    return bloom.set_bits(bloom.difference(_filter(spark, sf_dir, _A), _filter(spark, sf_dir, _B), BLOOM, BLOOM))
-
-
-_FOLDED = int(BLOOM.bits * 0.95) // 8 * 8
-
-
-@query(f"SELECT DISTINCT bit % {_FOLDED} AS bit FROM ({_bits(_A)})")
-def bloom_fold(spark, sf_dir):
-    return bloom.set_bits(bloom.fold(_filter(spark, sf_dir, _A), BLOOM, 5)[0])
-
-
 @query("SELECT count(DISTINCT c_name) AS members, count(DISTINCT c_name) AS found FROM customer")
 def bloom_no_false_negatives(spark, sf_dir):
     names = _names(spark, sf_dir, "true")
@@ -372,20 +419,8 @@ def bloom_no_false_negatives(spark, sf_dir):
     return each.agg(F.count("*").alias("members"), F.count_if("found").alias("found"))
 
 
-@query(f"""WITH b AS ({_bits(_A)}), p AS (SELECT c_name, count(DISTINCT k) AS n, count(DISTINCT CASE WHEN bit IS NOT NULL THEN k END) AS hit FROM
-(SELECT c_name, k, CAST(('0x' || substr(md5(k || ':{BLOOM.seed}:' || c_name), 1, 8)) AS BIGINT) % {BLOOM.bits} AS want FROM customer, (SELECT unnest(range({BLOOM.hashes})) AS k)) LEFT JOIN b ON bit = want GROUP BY 1)
-SELECT c_name AS value, n = hit AS found FROM p""")
-def bloom_contains(spark, sf_dir):
-    return bloom.contains(_names(spark, sf_dir, "true"), "c_name", _filter(spark, sf_dir, _A), BLOOM)
-
-
-@query("SELECT true AS all_found, false AS none_found, CAST(NULL AS VARCHAR) AS first_missing, min(c_name) AS first_found FROM customer WHERE c_custkey < 100")
-def bloom_contains_all(spark, sf_dir):
-    return bloom.contains_all(_names(spark, sf_dir, _A), "c_name", _filter(spark, sf_dir, _A), BLOOM)
-
-
-# The same over whole columns: the operands are the names of all customers and of all suppliers, and both filters have
-# room for as many elements as there are distinct names. The queries above keep to the id ranges that their SQL names.
+# Set operations and membership: the operands are the names of all customers and of all suppliers, and both filters have
+# room for as many elements as there are distinct names.
 
 _CUSTOMERS, _SUPPLIERS = "SELECT c_name AS name FROM customer", "SELECT s_name AS name FROM supplier"
 _PERCENT = 5
@@ -418,42 +453,51 @@ def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, bloo
 
 
 @query(f"{_whole_bits(_CUSTOMERS)} UNION {_whole_bits(_SUPPLIERS)}")
-def bloom_union_whole(spark, sf_dir):
+def bloom_union(spark, sf_dir):
     a, b, p = _whole(spark, sf_dir)
     return bloom.set_bits(bloom.union(bloom.build(a, "name", p), bloom.build(b, "name", p), p, p))
 
 
 @query(f"{_whole_bits(_CUSTOMERS)} INTERSECT {_whole_bits(_SUPPLIERS)}")
-def bloom_intersect_whole(spark, sf_dir):
+def bloom_intersect(spark, sf_dir):
     a, b, p = _whole(spark, sf_dir)
     return bloom.set_bits(bloom.intersection(bloom.build(a, "name", p), bloom.build(b, "name", p), p, p))
 
 
 @query(f"SELECT bit FROM ({_whole_bits(_CUSTOMERS)} UNION ALL {_whole_bits(_SUPPLIERS)}) GROUP BY 1 HAVING count(*) = 1")
-def bloom_xor_whole(spark, sf_dir):
+def bloom_xor(spark, sf_dir):
     a, b, p = _whole(spark, sf_dir)
     return bloom.set_bits(bloom.difference(bloom.build(a, "name", p), bloom.build(b, "name", p), p, p))
 
 
 @query(f"SELECT DISTINCT bit % folded AS bit FROM ({_hashed(_CUSTOMERS)})")
-def bloom_fold_whole(spark, sf_dir):
+def bloom_fold(spark, sf_dir):
     a, _, p = _whole(spark, sf_dir)
     return bloom.set_bits(bloom.fold(bloom.build(a, "name", p), p, _PERCENT)[0])
 
 
 @query(_FOUND)
-def bloom_contains_whole(spark, sf_dir):
+def bloom_contains(spark, sf_dir):
     a, b, p = _whole(spark, sf_dir)
     return bloom.contains(a.union(b), "name", bloom.build(a, "name", p), p)
 
 
 @query(f"""SELECT coalesce(bool_and(found), true) AS all_found, coalesce(bool_and(NOT found), true) AS none_found, min(CASE WHEN NOT found THEN value END) AS first_missing,
 min(CASE WHEN found THEN value END) AS first_found FROM ({_FOUND})""")
-def bloom_contains_all_whole(spark, sf_dir):
+def bloom_contains_all(spark, sf_dir):
     a, b, p = _whole(spark, sf_dir)
     return bloom.contains_all(a.union(b), "name", bloom.build(a, "name", p), p)
 
 
+@query(f"""SELECT name AS value, bool_and(held.bit IS NOT NULL) AS found FROM (SELECT name, bit % folded AS bit FROM ({_hashed(f"{_CUSTOMERS} UNION {_SUPPLIERS}")})) AS own
+LEFT JOIN (SELECT DISTINCT bit % folded AS bit FROM ({_hashed(_CUSTOMERS)})) AS held ON own.bit = held.bit GROUP BY 1""")
+def bloom_folded_contains(spark, sf_dir):
+    """Membership in a folded filter: a bit goes through the sizes that the filter had."""
+    a, b, p = _whole(spark, sf_dir)
+    folded, q = bloom.fold(bloom.build(a, "name", p), p, _PERCENT)
+    return bloom.contains(a.union(b), "name", folded, q)
+
+
 @query(f"SELECT count(*) AS bits_set, round(pow(count(*) / {BLOOM.bits}.0, {BLOOM.hashes}), 9) AS fpp FROM ({_bits('true')})")
 def bloom_fpp(spark, sf_dir):
     return bloom.measured_fpp(_filter(spark, sf_dir, "true"), BLOOM).select(F.col("bits_set").cast("long").alias("bits_set"), F.round("fpp", 9).alias("fpp"))
@@ -486,15 +530,37 @@ def bit_pack(spark, sf_dir):
     return rows.select("g", codec.pack_bits(F.col("r.b"))[0].cast("long").alias("packed"))
 
 
-@query()
+@query("""SELECT o_orderkey AS num, -o_totalprice AS second, o_orderpriority AS str, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS opt, o_custkey AS paired, o_custkey AS cell,
+o_orderkey % 2 = 0 AS flag, true AS same FROM orders""")
 def nested_roundtrip(spark, sf_dir):
-    """Nested values of every container kind, written to and read from JSON."""
-    shape = "struct<num:bigint,vec:array<double>,str:string,opt:string,pairs:map<string,bigint>,grid:array<array<bigint>>>"
+    """Nested values of every container kind, written to bytes and read again."""
+    shape = "struct<num:bigint,vec:array<double>,str:string,opt:string,pairs:map<string,bigint>,grid:array<array<bigint>>,flags:array<boolean>>"
     row = F.struct(
         F.col("o_orderkey").alias("num"), F.array("o_totalprice", -F.col("o_totalprice")).alias("vec"), F.col("o_orderpriority").alias("str"),
         F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("opt"), F.create_map("o_orderstatus", "o_custkey").alias("pairs"), F.array(F.array("o_custkey"), F.array(F.lit(0).cast("long"))).alias("grid"),
+        F.array(F.col("o_orderkey") % 2 == 0).alias("flags"),
     )
-    return _read(spark, sf_dir, "orders").select(row.alias("row")).select(F.from_json(F.to_json("row"), shape).alias("row"), (F.from_json(F.to_json("row"), shape).cast("string") == F.col("row").cast("string")).alias("same"))
+    back = _read(spark, sf_dir, "orders").select("o_orderstatus", row.alias("row")).withColumn("back", typed.from_bytes(typed.to_bytes(F.col("row")), shape))
+    same = F.col("back").cast("string") == F.col("row").cast("string")
+    at = F.col("back")
+    return back.select(at["num"].alias("num"), at["vec"][1].alias("second"), at["str"].alias("str"), at["opt"].alias("opt"), F.element_at(at["pairs"], F.col("o_orderstatus")).alias("paired"), at["grid"][0][0].alias("cell"), at["flags"][0].alias("flag"), same.alias("same"))
+
+
+_HEX = "concat(" + ", ".join(f"CASE WHEN {k} < bytes THEN printf('%02X', ((n >> {7 * k}) & 127) + CASE WHEN {k} < bytes - 1 THEN 128 ELSE 0 END) ELSE '' END" for k in range(4)) + ")"
+
+
+@query(f"SELECT n, {_HEX} AS encoded, n AS back FROM (SELECT n, CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 ELSE 4 END AS bytes FROM (SELECT o_orderkey * 97 AS n FROM orders))")
+def varint_roundtrip(spark, sf_dir):
+    n = _read(spark, sf_dir, "orders").select((F.col("o_orderkey") * 97).alias("n")).withColumn("raw", codec.varint_encode(F.col("n")))
+    return n.select("n", F.hex("raw").alias("encoded"), codec.varint_decode(F.col("raw"))["value"].alias("back"))
+
+
+@query(f"""SELECT page, printf('%02X', count(*)) || string_agg(printf('%02X', strlen(v)) || hex(v), '' ORDER BY v) AS encoded, string_agg(v, ',' ORDER BY v) AS back
+FROM (SELECT DISTINCT event_id // {P} AS page, event_type AS v FROM events) GROUP BY 1""")
+def dict_serialized(spark, sf_dir):
+    """Each page's dictionary in serialized form, and read from it again."""
+    rows = pages.sorted_values(events(spark, sf_dir), "event_type").select("page", codec.list_encode(F.col("values")).alias("raw"))
+    return rows.select("page", F.hex("raw").alias("encoded"), F.array_join(codec.list_decode(F.col("raw")), ",").alias("back"))
 
 
 @query("SELECT concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority) AS line FROM orders")
@@ -534,3 +600,85 @@ def group_by_cube(spark, sf_dir):
 @query("SELECT count(*) AS n, min(o_orderpriority) AS lo, max(o_orderpriority) AS hi FROM orders")
 def aggregate_all(spark, sf_dir):
     return relational.aggregate(orders(spark, sf_dir), [], [F.count("*").alias("n"), F.min("o_orderpriority").alias("lo"), F.max("o_orderpriority").alias("hi")])
+
+
+_WHERE = "(o_orderpriority IN ('1-URGENT', '2-HIGH') OR o_orderstatus LIKE 'F%') AND NOT o_custkey BETWEEN 10 AND 90 AND o_orderdate IS NOT NULL"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'open' END AS state FROM orders WHERE {_WHERE}")
+def predicates(spark, sf_dir):
+    rows = relational.where(orders(spark, sf_dir), _WHERE, ["o_orderkey", "o_orderstatus"])
+    return rows.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "done").otherwise("open").alias("state"))
+
+
+@query("SELECT e.event_id, e.user_id, max(p.event_id) AS purchase FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id <= e.event_id GROUP BY 1, 2")
+def join_as_of(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events")
+    bought = rows.where("event_type = 'purchase'").select("user_id", "event_id", F.col("event_id").alias("purchase"))
+    return relational.as_of(rows.select("user_id", "event_id"), bought, ["user_id"], "event_id", ["purchase"]).select("event_id", "user_id", "purchase")
+
+
+@query("SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_orderkey >= s_suppkey * 10 AND o_orderkey < s_suppkey * 10 + 25")
+def join_interval(spark, sf_dir):
+    bands = _read(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 10).alias("low"), (F.col("s_suppkey") * 10 + 25).alias("high"))
+    return relational.interval_join(_read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", bands, "low", "high", 32).select("o_orderkey", "s_suppkey")
+
+
+@query("""SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders) WHERE rank <= 3""")
+def window_rank(spark, sf_dir):
+    return relational.ranked(orders(spark, sf_dir), ["o_custkey"], [F.col("o_totalprice").desc()], 3).select("o_custkey", "o_orderkey", "rank")
+
+
+@query("SELECT o_orderkey, count(*) OVER w AS seen, min(o_totalprice) OVER w AS least, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
+def window_frames(spark, sf_dir):
+    keyed = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    last = keyed.rowsBetween(-2, 0)
+    return _read(spark, sf_dir, "orders").select("o_orderkey", F.count("*").over(last).alias("seen"), F.min("o_totalprice").over(last).alias("least"), F.lag("o_orderkey").over(keyed).alias("before"))
+
+
+_KEYS = "SELECT c_custkey AS k FROM customer", "SELECT o_custkey AS k FROM orders"
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+
+
+@query(f"{_KEYS[0]} UNION {_KEYS[1]}")
+def set_union(spark, sf_dir):
+    return relational.set_operation(*_keys(spark, sf_dir), "union")
+
+
+@query(f"{_KEYS[0]} INTERSECT {_KEYS[1]}")
+def set_intersect(spark, sf_dir):
+    return relational.set_operation(*_keys(spark, sf_dir), "intersect")
+
+
+@query(f"{_KEYS[1]} EXCEPT ALL {_KEYS[0]}")
+def set_except_all(spark, sf_dir):
+    return relational.set_operation(*reversed(_keys(spark, sf_dir)), "except", repeats=True)
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM orders WHERE CAST(('0x' || substr(md5('5:' || o_orderkey), 1, 8)) AS BIGINT) < {int(0.1 * (1 << 32))}")
+def sample_rows(spark, sf_dir):
+    """A tenth of the rows, by a hash of the row number: sampling is what this query is for."""
+    return relational.sample(orders(spark, sf_dir), 0.1, 5).select("o_orderkey", "o_custkey")
+
+
+_SUBQUERY = "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT c_custkey, n FROM customer JOIN big ON c_custkey = o_custkey WHERE n > (SELECT avg(n) FROM big) AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND o.o_orderpriority = '1-URGENT')"
+
+
+@query(_SUBQUERY)
+def subqueries(spark, sf_dir):
+    """SQL over the stored tables: common expressions, scalar and correlated subqueries."""
+    return spark.sql(_SUBQUERY.replace("FROM orders", "FROM {orders}").replace("FROM customer", "FROM {customer}"), orders=_read(spark, sf_dir, "orders"), customer=_read(spark, sf_dir, "customer"))
+
+
+@query("SELECT o_orderkey, length(o_orderpriority) * 2 + o_orderkey % 7 AS score FROM orders")
+def user_function(spark, sf_dir):
+    """A function of one's own, over Arrow batches."""
+
+    @F.pandas_udf("long")
+    def score(text: pd.Series, n: pd.Series) -> pd.Series:
+        return text.str.len() * 2 + n % 7
+
+    return _read(spark, sf_dir, "orders").select("o_orderkey", score("o_orderpriority", "o_orderkey").alias("score"))

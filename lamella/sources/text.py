@@ -27,14 +27,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(rid, value): the lines of a text file, or of the files of a folder in name order, numbered from 0.
 
     A file split's lines are consecutive in one partition, so a line's number is the lines in the splits before, a table
-    with a row for each split, and its place in its own. Up to BROADCAST_SPLITS splits, no line is shuffled.
+    with a row for each split, and its place in its own. Up to BROADCAST_SPLITS splits, no line is shuffled. Nothing runs yet.
     """
     lines = spark.read.option("lineSep", "\n").text(path)
     placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     splits = placed.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")
-    starts = splits.select("file", "block", (before - F.col("first")).alias("shift")).persist()
-    if starts.count() <= BROADCAST_SPLITS:
+    starts = splits.select("file", "block", (before - F.col("first")).alias("shift"))
+    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BROADCAST_SPLITS:  # a split begins with a file or a partition
         starts = F.broadcast(starts)
     return placed.join(starts, ["file", "block"]).select((F.col("id") + F.col("shift")).alias("rid"), "value")
 

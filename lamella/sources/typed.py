@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,11 +32,27 @@ def as_set(values: Column) -> Column:
     return F.array_sort(F.array_distinct(values))
 
 
+class Custom(NamedTuple):
+    """A type of one's own: how a value becomes a struct of known types, and again a value; both are expressions."""
+
+    pack: Callable[[Column], Column]
+    shape: str
+    unpack: Callable[[Column], Column]
+
+    def to_bytes(self, value: Column) -> Column:
+        return to_bytes(self.pack(value))
+
+    def from_bytes(self, raw: Column) -> Column:
+        return self.unpack(from_bytes(raw, self.shape))
+
+
 def as_map(pairs: Column) -> Column:
-    """A map of an array of (key, value) structs; of repeated keys the last one counts."""
-    return F.aggregate(
-        pairs, F.create_map().cast("map<string,bigint>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"]))
-    )
+    """A map of an array of (key, value) structs of any types; of repeated keys the last one counts."""
+    indexed = F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), (-i).alias("at"), p["value"].alias("value")))
+    # Sorted by key and place, the last of a key comes first, and a pair stays if the one before has another key.
+    ordered = F.array_sort(indexed)
+    kept = F.transform(F.array(ordered), lambda z: F.filter(z, lambda p, i: F.coalesce(F.get(z, i - 1)["key"] != p["key"], F.lit(True))))[0]
+    return F.map_from_entries(F.transform(kept, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
 
 
 def write(rows: DataFrame, folder: str, form: str = "parquet", compression: str = "snappy") -> None:

@@ -24,7 +24,7 @@ def walked(values):
 def test_pages_and_chain_of_several_runs(spark, orders, monkeypatch):
     monkeypatch.setattr(catalogue, "P", PAGE)
     at, rows = orders
-    got = {(r.column, r.page): tuple(r)[2:] for r in catalogue.encoded_pages(spark, at).collect()}
+    got = {(r.name, r.page): tuple(r)[2:] for r in catalogue.encoded_pages(spark, at).collect()}
     chain = {(r.epoch, r.page, r.len, r.base) for r in catalogue.encoded_chain(spark, at).collect()}
     for column, k in (("o_custkey", 1), ("o_orderpriority", 3), ("o_totalprice", 2)):
         pages = walked([str(r[k]) for r in rows])
