@@ -12,10 +12,12 @@ is cut whole; a table without rows gives none; a null doc_id stays null; other c
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +38,23 @@ def _pieces(path: str, longest: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = tokens.WordCache(path)  # a task's own: workers live on, and its room with them
-        for batch in common.some(batches):
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            begin, size = 0, 0
-            for k, text in enumerate(texts):
-                size += len(text or "")
-                if size > _TEXT_AT_ONCE or k == len(texts) - 1:
-                    yield _cut(ids[begin : k + 1], [x + tail for x in cache.encode(texts[begin : k + 1])], longest)
-                    begin, size = k + 1, 0
+        for batch in batches:
+            for part in _portions(batch):
+                ids, texts = (c.to_pylist() for c in part.columns)
+                yield _cut(ids, [x + tail for x in cache.encode(texts)], longest)
 
     return run
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows in portions of about _TEXT_AT_ONCE bytes of text, a longer text alone or with shorter ones before it."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    of = (np.cumsum(size, dtype=np.int64) - size) // _TEXT_AT_ONCE
+    edges = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else []
+    for a, b in itertools.pairwise(edges):
+        yield batch.slice(a, b - a)
+
+
 def _cut(doc_ids: list[int | None], encoded: list[bytes], longest: int) -> pa.RecordBatch:
     doc, start, length, total, parts = [], [], [], [], []
     for doc_id, ids in zip(doc_ids, encoded, strict=True):

@@ -11,19 +11,22 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 #: Where Spark and Python may cut; the pattern means the same to both.
 CUT = "(?<=[!-~¡-ɏ])(?=[ \n])"
-split = re.compile(CUT).split
+split, _next_cut = re.compile(CUT).split, re.compile(CUT).search
 _LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _fine = re.compile(f"[ \n]*[{_LETTER}]+|[ \n]*[^ \n{_LETTER}]+[{_LETTER}]*|[ \n]+").findall
 _odd = re.compile(f"[^\n -~{_LETTER}]").search
 #: Words that a cache holds before it starts afresh, and the longest that it keeps.
 CACHED_WORDS, LONGEST_CACHED = 400_000, 64
 _AT_ONCE, _JOINED = 20_000, 100
+#: Characters of a text that are cut into words at once.
+STRETCH = 1 << 18
 #: Stands between words that are encoded together, as a token of its own.
 _MARK = "~"
 
@@ -83,6 +86,15 @@ def pieces(text: str, fold: bool = False) -> list[str]:
     return _fine(text.lower() if fold else text)
 
 
+def stretches(text: str, size: int) -> Iterator[str]:
+    """A text in stretches of about ``size`` characters, cut where no token crosses; one stretch if there is no such place."""
+    begin = 0
+    while len(text) - begin > size and (cut := _next_cut(text, begin + size)):
+        yield text[begin : cut.start()]
+        begin = cut.start()
+    yield text[begin:] if begin else text
+
+
 class WordCache:
     """Encodes whole texts, each word once for as long as the cache holds it."""
 
@@ -92,6 +104,12 @@ class WordCache:
             self.fold = '"Lowercase"' in json.dumps(json.load(f)["normalizer"])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts; a long one goes by stretches, as its words as Python objects take many times its room."""
+        if any(t and len(t) > STRETCH for t in texts):
+            return [b"".join(self._encode([s])[0] for s in stretches(t, STRETCH)) if t and len(t) > STRETCH else self._encode([t])[0] for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         words = [pieces(t, self.fold) if t else [] for t in texts]
         new = list(set().union(*words).difference(self.known))
         if len(self.known) + len(new) > CACHED_WORDS:

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,23 @@ def test_buckets_on_disk(docs, spark, tmp_path):
     assert read.agg(F.sum("length")).first()[0] == 10
 
 
+def test_long_texts_go_by_stretches(docs, monkeypatch):
+    assert list(tokens.stretches("", 3)) == [""]
+    assert list(tokens.stretches("ab cd ef", 3)) == ["ab cd", " ef"]
+    monkeypatch.setattr(tokens, "STRETCH", 7)
+    cache = tokens.WordCache(FILES["word_bpe_49k.json"])
+    for text in [t for t in ODD if t]:
+        assert "".join(tokens.stretches(text, 7)) == text
+        assert np.frombuffer(cache.encode([text, None])[0], "<u4").tolist() == reference("word_bpe_49k.json", text)
+
+
+def test_portions():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["x" * n if n else None for n in (0, 5, 900_000, 900_000, 3_000_000, 1, 2)])], ["doc_id", "text"])
+    parts = list(packing._portions(batch))
+    assert [p.column(0).to_pylist() for p in parts] == [[0, 1, 2, 3], [4], [5, 6]]
+    assert list(packing._portions(batch.slice(0, 0))) == []
+
+
 def test_packing_query(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     check_packed(registry.queries()["op3_packing"](spark, small).collect(), texts)
