@@ -1,8 +1,10 @@
 """Bloom filters as tables of bits.
 
 A filter is a frame (word, bits) of 32-bit words with ``Parameters`` beside it. Building one sets bits with a partial
-``bit_or`` for each word; membership joins a value's bits with the words, which scales with the filter. Filters of equal
-parameters combine word by word. Hashes come from xxhash64, or from md5 where other systems are to reproduce them.
+``bit_or`` for each word. Values are tested in place against a filter of at most ``IN_PLACE_BITS``, which every task gets
+as one array of words; against a larger one, by a join of a value's bits with the words, which scales with the filter.
+Filters of equal parameters combine word by word. Hashes come from xxhash64, or from md5 where other systems are to
+reproduce them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = 32
+#: Bits, by a filter's parameters, up to which it is sent to every task: 2 MB as an array of words; and hashes, as a plan
+#: has an expression for each.
+IN_PLACE_BITS, IN_PLACE_HASHES = 1 << 23, 32
 
 
 @dataclass(frozen=True)
@@ -36,19 +41,18 @@ def optimal(elements: int, fpp: float, most_hashes: int = 999, least_bits: int =
     return Parameters(hashes, max(least_bits, min(whole, most_bits or whole)), seed, portable)
 
 
-def positions(value: Column, p: Parameters) -> Column:
-    """The bits of a value: one for each hash, through the sizes of folded filters in turn."""
-
-    def hashed(k: Column) -> Column:
-        salt = F.concat_ws(":", k.cast("string"), F.lit(str(p.seed)), value.cast("string"))
-        return F.conv(F.substring(F.md5(salt), 1, 8), 16, 10).cast("long") if p.portable else F.xxhash64(k, F.lit(p.seed), value.cast("string"))
+def _position(value: Column, k: Column, p: Parameters) -> Column:
+    """The bit of a value's hash ``k``, through the sizes of folded filters in turn."""
+    salt = F.concat_ws(":", k.cast("string"), F.lit(str(p.seed)), value.cast("string"))
+    h = F.conv(F.substring(F.md5(salt), 1, 8), 16, 10).cast("long") if p.portable else F.xxhash64(k, F.lit(p.seed), value.cast("string"))
+    for size in (*p.sizes, p.bits):
+        h = F.pmod(h, F.lit(size))
+    return h
 
-    def index(h: Column) -> Column:
-        for size in (*p.sizes, p.bits):
-            h = F.pmod(h, F.lit(size))
-        return h
 
-    return F.transform(F.sequence(F.lit(0), F.lit(p.hashes - 1)), lambda k: index(hashed(k)))
+def positions(value: Column, p: Parameters) -> Column:
+    """The bits of a value: one for each hash."""
+    return F.transform(F.sequence(F.lit(0), F.lit(p.hashes - 1)), lambda k: _position(value, k, p))
 
 
 def _words(bit: Column) -> tuple[Column, Column]:
@@ -61,9 +65,26 @@ def build(values: DataFrame, column: str, p: Parameters) -> DataFrame:
     return bit.select(*_words(F.col("bit"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
 
 
+def _dense(filter_: DataFrame) -> DataFrame:
+    """One row with one array: the bits of every word up to the last one that has any."""
+    held = filter_.agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("w"))
+
+    def gap(w: Column, k: Column) -> Column:
+        before = F.coalesce(F.get("w", k - 1)["word"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0).cast("long"), (w["word"] - before - 1).cast("int")), F.array(w["bits"]))
+
+    return held.select(F.flatten(F.transform("w", gap)).alias("words"))
+
+
 def contains(values: DataFrame, column: str, filter_: DataFrame, p: Parameters) -> DataFrame:
     """Each distinct value with ``found``: whether all its bits are set. Values that were inserted always are."""
     own = values.select(F.col(column).alias("value")).where("value is not null").distinct()
+    if p.bits <= IN_PLACE_BITS and p.hashes <= IN_PLACE_HASHES:
+        words, found = _dense(filter_).scalar(), F.lit(True)
+        for k in range(p.hashes):
+            word, mask = _words(_position(F.col("value"), F.lit(k), p))
+            found &= F.coalesce(F.get(words, word.cast("int")), F.lit(0)).bitwiseAND(mask) != 0
+        return own.select("value", found.alias("found"))
     bit = own.select("value", F.explode(positions(F.col("value"), p)).alias("bit"))
     probe = bit.select("value", *(c.alias(n) for c, n in zip(_words(F.col("bit")), ("word", "mask"), strict=True)))
     held = probe.join(filter_, "word", "left").withColumn("set", F.coalesce(F.col("bits"), F.lit(0)).bitwiseAND(F.col("mask")) != 0)

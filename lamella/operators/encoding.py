@@ -13,10 +13,13 @@ would be narrower, and the break-even says that starting afresh pays: local. Els
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,29 +80,46 @@ class Writer:
         keep = pages * differential * EXPECTED_ROWS + dump + n * differential
         return keep - pages * (local * EXPECTED_ROWS + usual) - (serialized(distinct) + n * local)
 
-    def encode(self, values: list[str]) -> dict:
-        """The page's row but for its names; the state moves on."""
-        distinct = sorted(set(values), key=lambda v: v.encode("utf-8", "surrogatepass"))
-        new = [v for v in distinct if v not in self.codes]
-        kind = self.choose(len(values), distinct, new)
-        row = {"encoding": kind, "n": len(values), "min_v": distinct[0], "max_v": distinct[-1], "codes": None, "vals": None, "segment": [], "base": 0}
-        if kind == PLAIN:
+    def page(self, values: pa.StringArray) -> dict:
+        """The page's row but for its names, with Arrow arrays for lists; the state moves on. Only the distinct values of
+        pages with a dictionary become Python objects."""
+        coded = values.dictionary_encode()
+        n, found = len(values), coded.dictionary
+        if len(found) > PLAIN_RATIO * n:
             self.codes, self.added = {}, []
-            return row | {"vals": values, "epoch": None, "width": None, "min_new": " ", "max_new": " "}
+            bounds = pc.min_max(found)
+            row = {"encoding": PLAIN, "n": n, "min_v": bounds["min"].as_py(), "max_v": bounds["max"].as_py(), "codes": None, "vals": values}
+            return row | {"segment": found[:0], "base": 0, "epoch": None, "width": None, "min_new": " ", "max_new": " "}
+        order = pc.array_sort_indices(found)
+        ordered = found.take(order)
+        distinct = ordered.to_pylist()
+        held = np.fromiter((self.codes.get(v, -1) for v in distinct), dtype=np.int32, count=len(distinct))
+        new = [v for v, code in zip(distinct, held.tolist(), strict=True) if code < 0]
+        kind = self.choose(n, distinct, new)
         if kind == LOCAL:
             self.codes, self.memory, self.added, new = {}, 0, [], distinct
             self.epoch += 1
+            held[:] = -1
         base = len(self.codes)
-        self.codes |= {v: base + k for k, v in enumerate(new)}
+        fresh = held < 0
+        held[fresh] = np.arange(base, base + len(new), dtype=np.int32)
+        self.codes |= zip(new, range(base, base + len(new)), strict=True)
         size = serialized(new)
         self.memory += size
         if kind == DIFFERENTIAL:
             self.added.append(size)
-        return row | {
-            "epoch": self.epoch, "base": base, "width": width(len(self.codes)), "segment": new, "codes": [self.codes[v] for v in values],
+        code = np.empty(len(distinct), dtype=np.int32)
+        code[order.to_numpy()] = held
+        return {
+            "encoding": kind, "n": n, "min_v": distinct[0], "max_v": distinct[-1], "codes": pa.array(code[coded.indices.to_numpy()]), "vals": None,
+            "segment": ordered.filter(pa.array(fresh)), "base": base, "epoch": self.epoch, "width": width(len(self.codes)),
             "min_new": new[0] if new else " ", "max_new": new[-1] if new else " ",
         }
 
+    def encode(self, values: list[str]) -> dict:
+        """The same of Python texts, with lists."""
+        return {k: v.to_pylist() if isinstance(v, pa.Array) else v for k, v in self.page(pa.array(values, pa.string())).items()}
+
 
 _TYPES = pa.schema(
     [("run", pa.int64()), ("page", pa.int64()), ("column", pa.string()), ("encoding", pa.string()), ("n", pa.int32()), ("epoch", pa.int32()), ("base", pa.int32()), ("width", pa.int32())]
@@ -108,28 +128,49 @@ _TYPES = pa.schema(
 )
 
 
-def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    writer, key = Writer(), None
-    for batch in batches:
-        for k in range(batch.num_rows):
-            column, run, page, values = (c[k].as_py() for c in batch.columns)
-            if (column, run) != key:
-                writer, key = Writer(), (column, run)
-            yield pa.RecordBatch.from_pylist([{"run": run, "page": page, "column": column} | writer.encode(values)], schema=_TYPES)
+def _cell(value: object, kind: pa.DataType) -> pa.Array:
+    """An array of one value, which for lists is an array itself."""
+    if isinstance(value, pa.Array):
+        return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
+    return pa.array([value], kind)
 
 
-def paged(table: Table, columns: Sequence[str]) -> DataFrame:
-    """(column, page, values): each page's texts in row order; a page's rows at most in one group."""
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v")) for c in columns))).alias("p")
-    rows = table.df.select(table.page().alias("page"), table.slot().alias("slot"), pairs).select("page", "slot", "p.column", "p.v")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda x: x["v"])
-    return rows.groupBy("column", "page").agg(ordered.alias("values"))
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.StringArray]]:
+    """((column, run, page), values) of rows that come in the order of pages; what is held is one page and one batch."""
+    key, held = None, []
+    for batch in batches:
+        at = [c.to_numpy() for c in batch.columns[:3]]
+        edges = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in at]), [True]))) if len(batch) else []
+        for begin, end in itertools.pairwise(edges):
+            own = tuple(int(c[begin]) for c in at)
+            if held and own != key:
+                yield key, pa.concat_arrays(held)
+                held = []
+            key = own
+            held.append(batch.column(3).slice(begin, end - begin))
+    if held:
+        yield key, pa.concat_arrays(held)
+
+
+def _walk(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, at = Writer(), None
+        for (column, run, page), values in _pages(batches):
+            if (column, run) != at:
+                writer, at = Writer(), (column, run)
+            row = {"run": run, "page": page, "column": names[column]} | writer.page(values)
+            yield pa.RecordBatch.from_arrays([_cell(row[f.name], f.type) for f in _TYPES], schema=_TYPES)
+
+    return run
 
 
 def encode(table: Table, columns: Sequence[str] | None = None, run_pages: int | None = RUN_PAGES) -> DataFrame:
     """The encoded pages of the chosen columns; without ``run_pages`` a column is one run, as of a single writer."""
-    pages = paged(table, table.names(columns)).select("column", (F.expr(f"page div {run_pages}") if run_pages else F.lit(0).cast("long")).alias("run"), "page", "values")
-    return pages.repartition("column", "run").sortWithinPartitions("column", "run", "page").mapInArrow(_walk, SCHEMA)
+    names = list(dict.fromkeys(table.names(columns)))
+    run = F.expr(f"page div {run_pages}") if run_pages else F.lit(0).cast("long")
+    values = F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("v")) for k, name in enumerate(names)))).alias("p")
+    rows = table.df.select(table.page().alias("page"), table.slot().alias("slot"), values).select("p.c", run.alias("run"), "page", "p.v", "slot")
+    return rows.repartition("c", "run").sortWithinPartitions("c", "run", "page", "slot").drop("slot").mapInArrow(_walk(names), SCHEMA)
 
 
 def dictionary(encoded: DataFrame) -> DataFrame:
@@ -150,12 +191,14 @@ def filter_codes(encoded: DataFrame, column: str, value: str, page_size: int) ->
     """(rid) of the rows whose column equals a text, found on codes: the text becomes one code for each epoch, pages whose
     bounds exclude it are skipped, a page that holds nothing else matches as a whole, and only plain pages compare texts."""
     own = encoded.where((F.col("column") == column) & (F.col("min_v") <= value) & (F.col("max_v") >= value))
-    constant, mixed = own.where("min_v = max_v"), own.where("min_v != max_v")
-    whole = constant.select("page", F.explode(F.expr("sequence(0, n - 1)")).alias("slot"))
     wanted = dictionary(encoded.where(F.col("column") == column)).where(F.col("v") == value).select("run", "epoch", F.col("code").alias("wanted"))
-    coded = mixed.where("encoding != 'plain'").join(wanted, ["run", "epoch"]).select("page", "wanted", F.posexplode("codes").alias("slot", "code")).where("code = wanted")
-    plain = mixed.where("encoding = 'plain'").select("page", F.posexplode("vals").alias("slot", "v")).where(F.col("v") == value)
-    return coded.select("page", "slot").union(plain.select("page", "slot")).union(whole).select((F.col("page") * page_size + F.col("slot")).alias("rid"))
+    slots, at = F.expr("sequence(0, n - 1)"), F.col("wanted")
+    coded, plain = F.filter(slots, lambda k: F.get("codes", k) == at), F.filter(slots, lambda k: F.get("vals", k) == value)
+    hits = F.when(F.col("min_v") == F.col("max_v"), slots).when(F.col("encoding") == PLAIN, plain).otherwise(coded)
+    # Plain pages have no epoch; a key of their own each spreads them over the join's tasks.
+    keyed = own.withColumn("epoch", F.coalesce(F.col("epoch").cast("long"), -1 - F.col("page")))
+    pages = keyed.join(wanted, ["run", "epoch"], "left").where("wanted is not null or encoding = 'plain'")
+    return pages.select("page", F.explode(hits).alias("slot")).select((F.col("page") * page_size + F.col("slot")).alias("rid"))
 
 
 def lookup_codes(encoded: DataFrame, asked: DataFrame, page_size: int) -> DataFrame:
