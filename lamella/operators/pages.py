@@ -12,9 +12,14 @@ from .table import Table
 PLAIN_RATIO, NEW_RATIO = 0.80, 0.99
 
 
+def _rows(table: Table, column: str) -> DataFrame:
+    """(page, v): each row's page and value, as text."""
+    return table.df.select(table.page().alias("page"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("v"))
+
+
 def distinct_values(table: Table, column: str) -> DataFrame:
-    """(page, v): each page's distinct values, as text. The base of the statistics: it is as small as they allow."""
-    return table.df.select(table.page().alias("page"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("v")).groupBy("page", "v").agg(F.count("*").alias("n"))
+    """(page, v, n): each page's distinct values and their rows. The base of the statistics: it is as small as they allow."""
+    return _rows(table, column).groupBy("page", "v").agg(F.count("*").alias("n"))
 
 
 def stats(table: Table, column: str) -> DataFrame:
@@ -34,13 +39,14 @@ def sorted_values(table: Table, column: str) -> DataFrame:
 
 def first_pages(table: Table, column: str) -> DataFrame:
     """(v, first_page): where each value occurs first."""
-    return distinct_values(table, column).groupBy("v").agg(F.min("page").alias("first_page"))
+    return _rows(table, column).groupBy("v").agg(F.min("page").alias("first_page"))
 
 
 def new_values(table: Table, column: str) -> DataFrame:
     """(page, n_distinct, n_new, new_ratio, min_new, max_new): values that no earlier page holds; a blank where none is new."""
     own = distinct_values(table, column)
-    fresh = first_pages(table, column).select(F.col("first_page").alias("page"), "v").groupBy("page").agg(F.count("*").alias("n_new"), F.min("v").alias("min_new"), F.max("v").alias("max_new"))
+    # Found among the pages' distinct values, whose shuffle both sides use.
+    fresh = own.groupBy("v").agg(F.min("page").alias("page")).groupBy("page").agg(F.count("*").alias("n_new"), F.min("v").alias("min_new"), F.max("v").alias("max_new"))
     pages = own.groupBy("page").agg(F.count("*").alias("n_distinct")).join(fresh, "page", "left")
     n_new = F.coalesce("n_new", F.lit(0)).cast("long")
     return pages.select("page", "n_distinct", n_new.alias("n_new"), (n_new / F.col("n_distinct")).alias("new_ratio"), F.coalesce("min_new", F.lit(" ")).alias("min_new"), F.coalesce("max_new", F.lit(" ")).alias("max_new"))
@@ -63,7 +69,8 @@ def growing_codes(table: Table, column: str) -> DataFrame:
     A value's code is the new values of earlier pages, one running sum over pages, and its rank within its own.
     """
     first = first_pages(table, column)
-    before = chain(table, column).select(F.col("page").alias("first_page"), "base")
+    lens = first.groupBy("first_page").agg(F.count("*").alias("len"))
+    before = lens.select("first_page", (F.sum("len").over(Window.orderBy("first_page")) - F.col("len")).alias("base"))
     rank = F.row_number().over(Window.partitionBy("first_page").orderBy("v")) - 1
     return first.withColumn("rank", rank).join(before, "first_page").select("v", "first_page", (F.col("base") + F.col("rank")).cast("long").alias("code"))
 
