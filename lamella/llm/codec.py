@@ -26,7 +26,7 @@ import json
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,8 +148,18 @@ def _answers(path: str):
     return run
 
 
-def _joined(key: tuple[pa.Scalar, ...], chunk: pa.Table, coded: pa.Table) -> pa.Table:
-    """The ids of a chunk's documents."""
+def _joined(pieces_=None):
+    """The ids of a chunk's documents; with a table of pieces sent to all tasks, also the texts that they decode to."""
+
+    def run(key: tuple[pa.Scalar, ...], chunk: pa.Table, coded: pa.Table) -> pa.Table:
+        doc_ids, n_tokens, ids = _own_ids(chunk, coded)
+        own = {"doc_id": doc_ids, "n_tokens": pa.array(n_tokens), "ids": pa.array(ids, pa.binary())}
+        return pa.table(own if pieces_ is None else own | {"text": pa.array(_texts(ids, *pieces_.value), pa.string())})
+
+    return run
+
+
+def _own_ids(chunk: pa.Table, coded: pa.Table) -> tuple[pa.Array, np.ndarray, list[bytes]]:
     coded = coded.sort_by("bucket")
     none = np.zeros(0, dtype="<i4")
     size = np.concatenate([none, *(_spread(x.as_py()) for x in coded.column("sizes"))]).astype(np.int64)
@@ -169,7 +179,7 @@ def _joined(key: tuple[pa.Scalar, ...], chunk: pa.Table, coded: pa.Table) -> pa.
         out += [raw[4 * a : 4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         n_tokens.append(np.diff(edge))
         begin = end
-    return pa.table([chunk.column("doc_ids")[0].values, pa.array(np.concatenate(n_tokens)), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
+    return chunk.column("doc_ids")[0].values, np.concatenate(n_tokens), out
 
 
 def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -189,8 +199,9 @@ def _repeatable(df: DataFrame) -> bool:
     return plain
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each document."""
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of each document; ``decoded``: and the text that its ids
+    decode to, found where the ids are put together, so that they needn't pass through a second Python worker."""
     spark = docs.sparkSession
     slim = common.narrow(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not _repeatable(slim):
@@ -200,7 +211,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     asked = slim.mapInArrow(_requests(buckets), "bucket int, chunk long, words binary")
     coded = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answers(path), "chunk long, bucket int, sizes binary, ids binary")
     own = slim.mapInArrow(_placed(buckets), "chunk long, doc_ids array<long>, sizes binary, places binary, order binary")
-    return own.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_joined, "doc_id long, n_tokens long, ids binary")
+    join, text = (_joined(_sent(spark, path)), ", text string") if decoded else (_joined(), "")
+    return own.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(join, f"doc_id long, n_tokens long, ids binary{text}")
 
 
 def pieces(path: str) -> list[bytes]:
@@ -214,30 +226,39 @@ def pieces(path: str) -> list[bytes]:
     return [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
 
 
+def _sent(spark: SparkSession, path: str):
+    """The table of pieces, for all tasks: its bytes, and each id's start and size in them."""
+    table = pieces(path)
+    size = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
+    return spark.sparkContext.broadcast((np.frombuffer(b"".join(table), dtype=np.uint8), np.cumsum(size) - size, size))
+
+
+def _texts(raws: Iterable[bytes | pa.Buffer], flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """What ids decode to."""
+    out = []
+    for raw in raws:
+        ids, parts = np.frombuffer(raw, dtype="<u4"), []
+        for k in range(0, len(ids), _TOKENS_AT_ONCE):
+            some = ids[k : k + _TOKENS_AT_ONCE]
+            parts.append(gather(flat, starts[some], sizes[some]).tobytes())
+        out.append(b"".join(parts).decode("utf-8", "replace"))
+    return out
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The columns of ``encoded``, which holds ``ids``, and ``text``, in place of any such column."""
     encoded = encoded.drop("text")
-    table = pieces(path)
-    size = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
-    shared = encoded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), dtype=np.uint8), np.cumsum(size) - size, size))
+    shared = _sent(encoded.sparkSession, path)
     at, names = encoded.columns.index("ids"), [*encoded.columns, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, sizes = shared.value
         for batch in common.some(batches):
-            out = []
-            for raw in batch.column(at):
-                ids, parts = np.frombuffer(raw.as_buffer() if raw.is_valid else b"", dtype="<u4"), []
-                for k in range(0, len(ids), _TOKENS_AT_ONCE):
-                    some = ids[k : k + _TOKENS_AT_ONCE]
-                    parts.append(gather(flat, starts[some], sizes[some]).tobytes())
-                out.append(b"".join(parts).decode("utf-8", "replace"))
+            out = _texts((raw.as_buffer() if raw.is_valid else b"" for raw in batch.column(at)), *shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names)
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokens.public("byte_bpe_50k.json")
-    both = decode(encode(common.table(spark, sf_dir, "documents"), path), path)
+    both = encode(common.table(spark, sf_dir, "documents"), tokens.public("byte_bpe_50k.json"), decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -138,6 +138,19 @@ def test_codec(docs, monkeypatch):
     assert {r.doc_id: r.text for r in rows} == {k: t or "" for k, t in enumerate(ODD)}
 
 
+def test_decoding_where_ids_are_joined(docs, monkeypatch):
+    monkeypatch.setattr(codec, "CHUNK_CHARS", 50)
+    path = FILES["byte_bpe_50k.json"]
+    for texts in ([*enumerate(ODD), (None, "x"), (None, None), (3, ODD[3])], []):
+        table = docs(texts)
+        at_once = codec.encode(table, path, decoded=True)
+        apart = codec.decode(codec.encode(table, path), path)
+        assert at_once.columns == apart.columns == ["doc_id", "n_tokens", "ids", "text"]
+        rows = [sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, bytes(r.ids), r.text) for r in df.collect())) for df in (at_once, apart)]
+        assert rows[0] == rows[1]
+        assert len(rows[0]) == len(texts)
+
+
 def test_codec_over_chunks_and_repeats(docs, spark):
     texts = [(k % 30, f"same words {k % 30} " * (1 + k % 30)) for k in range(90)] + [(None, "x"), (None, None)]
     rows = coded(docs(texts).repartition(3)).collect()
